@@ -102,10 +102,14 @@ class SuffixAutomaton:
 
     def _chain(self, state: int) -> tuple:
         """(n, items) of all windows that are suffixes of the state's longest, longest first."""
-        if (got := self._known.get(state)) is None:
-            own = sorted(self.found.get(state, {}).items(), reverse=True)
-            got = tuple(own) + (self._chain(self.link[state]) if state else ())
-            self._known[state] = got
+        path = []
+        while state and state not in self._known:
+            path.append(state)
+            state = self.link[state]
+        got = self._known.get(state, ())
+        for s in reversed(path):
+            own = tuple(sorted(self.found.get(s, {}).items(), reverse=True))
+            got = self._known[s] = own + got
         return got
 
     def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
