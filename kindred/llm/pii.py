@@ -1,0 +1,332 @@
+"""Personal data: base patterns, and spans that a trained tagger adds.
+
+The base finds e-mail addresses, IP addresses, card and phone numbers by fixed
+patterns. The method adds what the patterns miss: a character-level
+bidirectional LSTM with CRF transitions tags overlapping windows of the whole
+text, each character takes its tag from the window in which it lies nearest the
+middle, and the resulting runs count if they pass their kind's plausibility
+test and don't touch a base span. Every kind needs a digit or an at sign by that
+test, so a window without either is all "outside" and is not decoded; nothing
+else is skipped.
+
+The tagger learns from labelled spans that `labelled_windows` writes with a
+fixed seed: it doesn't depend on the corpus, and is fitted once in a process.
+
+Defined results: null or empty text has no spans; offsets count code points, the
+end is exclusive; repeated rows are judged alike.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import id_text, table
+from .tagger import Tagger, symbols
+
+KINDS = ("email", "ip", "card", "phone")
+Span = tuple[int, int, int]  # kind, start, end
+
+_TRIGGER = re.compile("[0-9@]")
+_AT = re.compile("@")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# Not after a digit: a match that fails at a run's first digit fails at its others too.
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+@dataclass(frozen=True)
+class Pii:
+    window: int = 64
+    stride: int = 32
+    train_windows: int = 2400
+    epochs: int = 7
+    seed: int = 11
+    #: Windows decoded at once.
+    batch: int = 512
+
+
+# ---------------------------------------------------------------- base patterns
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, d in enumerate(map(int, reversed(digits))):
+        total += d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d)
+    return total % 10 == 0
+
+
+def _digits(s: str) -> str:
+    return "".join(c for c in s if "0" <= c <= "9")
+
+
+def _emails(text: str) -> Iterator[Span]:
+    """Leftmost matches of local@domain, found from each at sign: linear in the text."""
+    end = 0
+    for m in _AT.finditer(text):
+        at = start = m.start()
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (d := _DOMAIN.match(text, at + 1)):
+            yield 0, start, (end := d.end())
+
+
+def base_spans(text: str) -> list[Span]:
+    """The base spans by kind, then start."""
+    out = list(_emails(text))
+    for m in _IP.finditer(text):
+        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+            out.append((1, *m.span()))
+    for m in _CARD.finditer(text):
+        if 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):
+            out.append((2, *m.span()))
+    for m in _PHONE.finditer(text):
+        if 8 <= len(_digits(m[0])) <= 15:
+            out.append((3, *m.span()))
+    return out
+
+
+# ---------------------------------------------------------------- labelled spans
+
+
+def _prose(rng: np.random.Generator, n: int) -> str:
+    letters = "etaoinshrdlucmfwygpbvk" * 3 + "éèüößñóáçà"
+    words = ["".join(rng.choice(list(letters), rng.integers(1, 9))) for _ in range(n)]
+    marks = ["", "", "", "", ",", ".", "!", ":", ")", "\n"]
+    return " ".join((w.capitalize() if rng.random() < 0.15 else w) + str(rng.choice(marks)) for w in words)
+
+
+def _card(rng: np.random.Generator, n: int) -> str:
+    body = "4" + "".join(map(str, rng.integers(0, 10, n - 2)))
+    return next(body + str(d) for d in range(10) if luhn(body + str(d)))
+
+
+def _written(rng: np.random.Generator, kind: int) -> str:
+    """One piece of personal data, in one of the ways in which people write it."""
+    name = lambda a, b: "".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(a, b)))
+    pick = lambda *x: str(x[rng.integers(len(x))])
+    if kind == 0:
+        user = name(3, 9) + pick("", ".", "_", "-", "+") + pick(name(1, 7), rng.integers(100))
+        host = name(3, 8) + pick("", str(rng.integers(10))) + pick(".example", "", ".mail") + pick(".com", ".org", ".net")
+        return user + pick("@", "@", "@", " @ ", "@ ", " @", "(@)", "[@]") + host
+    if kind == 1:
+        return pick(".", ".", ".", " . ", "[.]", "(.)").join(str(rng.integers(1, 256)) for _ in range(4))
+    if kind == 2:
+        d, sep = _card(rng, int(pick(16, 16, 16, 15))), pick("", "", " ", "-", ".", "/", "  ")
+        return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+    a, b, c = rng.integers(200, 1000), rng.integers(100, 1000), rng.integers(1000, 10000)
+    return pick("+1 ", "+44 ", "+1-", "", "", "", "001 ", "0049 ") + pick(
+        f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"{a} {b}-{c}"
+    )
+
+
+def _decoy(rng: np.random.Generator) -> str:
+    """Digits and at signs that aren't personal data."""
+    num = lambda a, b: str(rng.integers(a, b))
+    hexa = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    forms = (
+        lambda: "v" * int(rng.integers(2)) + num(0, 30) + "." + num(0, 30),
+        lambda: num(0, 9) + "." + num(0, 20) + "." + num(0, 90),
+        lambda: num(1900, 2100), lambda: num(0, 1000), lambda: num(1000, 10**9),
+        lambda: num(1900, 2100) + "-" + num(10, 13) + "-" + num(10, 29),
+        lambda: num(10, 24) + ":" + num(10, 60) + pick_tail(), lambda: num(1, 900) + "," + num(100, 1000),
+        lambda: "$" + num(1, 999) + "." + num(10, 99), lambda: "password=" + hexa(int(rng.integers(8, 20))),
+        lambda: 'token = "' + hexa(40) + '"', lambda: hexa(int(rng.integers(16, 41))),
+        lambda: "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16)),
+        lambda: "@" + "".join(rng.choice(list("abcdefghij"), 6)), lambda: num(1, 99) + "@" + num(1, 99),
+        lambda: "/" + num(1, 10**6) + ".html", lambda: "§" + num(1, 99) + "(" + num(1, 9) + ")",
+    )
+    pick_tail = lambda: ":" + num(10, 60) if rng.random() < 0.5 else ""
+    return forms[rng.integers(len(forms))]()
+
+
+def labelled_windows(n: int, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """n windows of symbols and their tags, cut at random from texts with labelled spans."""
+    rng = np.random.default_rng(seed)
+    x, y = np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)
+    for row in range(n):
+        text, tags = _prose(rng, 9)[-int(rng.integers(1, 50)) :], []
+        tags = [0] * len(text)
+        while len(text) < width + 50:
+            kind = int(rng.integers(4)) if rng.random() < 0.65 else -1
+            piece = _written(rng, kind) if kind >= 0 else _decoy(rng)
+            mine = [2 * kind + 1] + [2 * kind + 2] * (len(piece) - 1) if kind >= 0 else [0] * len(piece)
+            gap = str(rng.choice([" ", " ", " ", "\n", " (", ": ", " "]))
+            tail = str(rng.choice([" ", " ", ", ", ". ", "\n", ") "])) + _prose(rng, int(rng.integers(1, 8))) + " "
+            text, tags = text + gap + piece + tail, tags + [0] * len(gap) + mine + [0] * len(tail)
+        at = int(rng.integers(0, len(text) - width + 30))
+        part = text[at : at + width]
+        x[row, : len(part)] = symbols(part)
+        cut = tags[at : at + len(part)]
+        for i, t in enumerate(cut):  # a span cut by the window's start begins there
+            if i == 0 and t and t % 2 == 0:
+                cut[0] = t - 1
+        y[row, : len(part)] = cut
+    return x, y
+
+
+@lru_cache(maxsize=4)
+def trained(cfg: Pii = Pii()) -> Tagger:
+    x, y = labelled_windows(cfg.train_windows, cfg.window, cfg.seed)
+    tagger = Tagger(len(KINDS), seed=cfg.seed)
+    tagger.fit(x, y, cfg.epochs)
+    return tagger
+
+
+# ---------------------------------------------------------------- added spans
+
+_MAIL = re.compile(r"[^\s@]*[A-Za-z][^\s@]*\s?[(\[]?@[)\]]?\s?[^\s@]+\.[A-Za-z]{2,}")
+_FOUR = re.compile(r"([0-9]{1,3})\s?[\[(]?\.[\])]?\s?([0-9]{1,3})\s?[\[(]?\.[\])]?\s?([0-9]{1,3})\s?[\[(]?\.[\])]?\s?([0-9]{1,3})")
+_CALL = re.compile(r"(?:00[0-9]{1,3}[ .-]|\+?[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}")
+_SPREAD = re.compile(r"[0-9](?:[\x20./-]{0,2}[0-9])+")
+
+
+def plausible(kind: int, s: str) -> bool:
+    if len(s) > (254, 40, 40, 30)[kind]:
+        return False
+    if kind == 0:
+        return bool(_MAIL.fullmatch(s))
+    if kind == 1:
+        return bool(m := _FOUR.fullmatch(s)) and all(int(p) <= 255 for p in m.groups())
+    if kind == 2:
+        return bool(_SPREAD.fullmatch(s)) and 15 <= len(d := _digits(s)) <= 19 and luhn(d)
+    return bool(_CALL.fullmatch(s)) and 10 <= len(_digits(s)) <= 15
+
+
+def _wanted(text: str, cfg: Pii) -> list[int]:
+    """The windows that have a digit or an at sign."""
+    found = {p // cfg.stride for p in (m.start() for m in _TRIGGER.finditer(text))}
+    reach = cfg.window // cfg.stride
+    last = max(0, -(-(len(text) - cfg.window) // cfg.stride))
+    return sorted({min(max(k - j, 0), last) for k in found for j in range(reach)})
+
+
+def _runs(tags: np.ndarray) -> Iterator[Span]:
+    kind, start = -1, 0
+    for i, t in enumerate(tags.tolist() + [0]):
+        if kind >= 0 and t != 2 * kind + 2:
+            yield kind, start, i
+            kind = -1
+        if t and kind < 0:
+            kind, start = (t - 1) // 2, i
+
+
+def all_spans(texts: list[str | None], tagger: Tagger, cfg: Pii = Pii()) -> list[tuple[list[Span], list[Span]]]:
+    """For each text its base spans and all its spans, in order."""
+    out: list[tuple[list[Span], list[Span]]] = [([], []) for _ in texts]
+    jobs, coded = [], {}
+    for i, t in enumerate(texts):
+        if t and _TRIGGER.search(t):
+            out[i] = (base_spans(t), [])
+            coded[i] = symbols(t)
+            jobs += [(i, k) for k in _wanted(t, cfg)]
+    tags = {i: np.zeros(len(c), np.int8) for i, c in coded.items()}
+    margin = (cfg.window - cfg.stride) // 2
+    for at in range(0, len(jobs), cfg.batch):
+        part = jobs[at : at + cfg.batch]
+        x = np.zeros((len(part), cfg.window), np.int64)
+        for row, (i, k) in enumerate(part):
+            mine = coded[i][k * cfg.stride : k * cfg.stride + cfg.window]
+            x[row, : len(mine)] = mine
+        for (i, k), got in zip(part, tagger.decode(x)):
+            n, start = len(coded[i]), k * cfg.stride
+            a = 0 if k == 0 else margin
+            b = n - start if start + cfg.window >= n else margin + cfg.stride
+            tags[i][start + a : start + b] = got[a:b]
+    for i, t in tags.items():
+        base, text = out[i][0], texts[i]
+        free = np.ones(len(t) + 1, bool)
+        for _, a, b in base:
+            free[a:b] = False
+        added = []
+        for kind, a, b in _runs(t):
+            while a < b and text[a] in " \t\n\r\x0b\x0c,;:.":
+                a += 1
+            while a < b and text[b - 1] in " \t\n\r\x0b\x0c,;:.":
+                b -= 1
+            if a < b and free[a:b].all() and plausible(kind, text[a:b]) and _whole(text, a, b):
+                added.append((kind, a, b))
+        out[i] = (base, sorted(base + added))
+    return out
+
+
+def _whole(text: str, a: int, b: int) -> bool:
+    """Not a piece cut out of a longer word or number."""
+    inner = lambda c: c.isalnum() or c in "_=@"
+    return not (a and inner(text[a - 1]) and inner(text[a])) and not (b < len(text) and inner(text[b]) and inner(text[b - 1]))
+
+
+def written(spans: list[Span]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+
+
+def find(docs: DataFrame, cfg: Pii = Pii()) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+
+    The counts and the hash are of base spans.
+    """
+    weights = docs.sparkSession.sparkContext.broadcast(trained(cfg))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                found = all_spans(part.column("text").to_pylist(), weights.value, cfg)
+                counts = [[sum(s[0] == k for s in base) for base, _ in found] for k in range(4)]
+                yield pa.record_batch(
+                    [part.column("doc_id")]
+                    + [pa.array(c, pa.int64()) for c in counts]
+                    + [
+                        pa.array(hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found),
+                        pa.array([written(s) for _, s in found], pa.string()),
+                        pa.array([len(s) - len(base) for base, s in found], pa.int64()),
+                    ],
+                    ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
+                )
+
+    kind = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
+
+
+def redact_text(text: str, spans: list[Span]) -> str:
+    """Each span replaced by its kind in brackets; overlapping spans by that of the first."""
+    out, at = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= at:
+            out += [text[at:a], f"[{KINDS[kind].upper()}]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def redact(docs: DataFrame, cfg: Pii = Pii()) -> DataFrame:
+    """docs with personal data replaced; the same columns and rows. n_chars, if there, follows the text."""
+    weights = docs.sparkSession.sparkContext.broadcast(trained(cfg))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                texts = part.column("text").to_pylist()
+                found = all_spans(texts, weights.value, cfg)
+                new = [redact_text(t, s) if s else t for t, (_, s) in zip(texts, found)]
+                cols = dict(zip(part.schema.names, part.columns))
+                cols["text"] = pa.array(new, part.schema.field("text").type)
+                if "n_chars" in cols:
+                    cols["n_chars"] = pa.array([None if t is None else len(t) for t in new], cols["n_chars"].type)
+                yield pa.RecordBatch.from_pydict(cols, part.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(id_text(table(spark, sf_dir, "documents")))
