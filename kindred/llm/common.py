@@ -96,6 +96,18 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with these columns added, each computed once for a row.
+
+    The optimizer copies a plain column's expression to wherever it is used:
+    into each later filter, and into lambda functions, where it would run for
+    every element. It doesn't move expressions through a generator.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    out = df.select("*", F.explode_outer(F.array(row)).alias("_computed"))
+    return out.select(*[col(c) for c in df.columns], *[F.col("_computed")[n].alias(n) for n in columns])
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered for up to `limit` words at a time."""
 

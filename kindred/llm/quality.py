@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, id_text, let, table
+from .common import SPACE, WORD, computed, id_text, let, table
 
 
 @dataclass(frozen=True)
@@ -113,21 +113,19 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     docs needs a column `text`; names that begin with an underscore are used.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.withColumns(
-        {
-            "_words": _words(text),
-            "_all": F.split(text, "\n"),
-            "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        }
+    split = computed(
+        docs,
+        _words=_words(text),
+        _all=F.split(text, "\n"),
     )
-    out = split.withColumns(quality_columns(text, rules))
-    out = out.withColumn("_clean", F.array_join(F.filter("_all", lambda x: line_passes(x, rules)), "\n"))
+    split = computed(split, _lines=F.filter("_all", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    clean = F.array_join(F.filter("_all", lambda x: line_passes(x, rules)), "\n")
+    out = computed(split, **quality_columns(text, rules), _clean=clean).drop("_words", "_all", "_lines")
     failed = (F.col("n_words") < rules.min_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent
     )
-    out = out.withColumn("base_failed", failed)
     enough = F.char_length(_bare(F.col("_clean"))) * 100 >= F.col("word_chars") * rules.min_kept_percent
-    return out.withColumn("kept", ~F.col("base_failed") & enough)
+    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & enough)
 
 
 def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:

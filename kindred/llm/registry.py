@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, simhash
+from . import chat, decontam, mixing, pii, quality, simhash, substring, tokens, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_pii": pii.op2_pii,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op4_substring_dedup": substring.op4_substring_dedup,
+        "op5_token_counts": tokens.op5_token_counts,
         "op6_decontamination": decontam.op6_decontamination,
+        "op7_url_filters": urls.op7_url_filters,
+        "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality_rules": quality.op10_quality_rules,
     }
