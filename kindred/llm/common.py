@@ -43,19 +43,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing will read again."""
+    _delete(df._scratch)
+
+
+def _delete(path: str) -> None:
+    spark = _WRITTEN.pop(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def drop_written() -> None:
     """Delete all scratch tables of this process; runs at exit too."""
-    for path, spark in list(_WRITTEN.items()):
+    for path in list(_WRITTEN):
         try:
-            jvm = spark.sparkContext._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(path)
         except Exception:  # the JVM may be gone already
             pass
-        _WRITTEN.pop(path, None)
 
 
 atexit.register(drop_written)
@@ -108,23 +118,50 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return out.select(*[col(c) for c in df.columns], *[F.col("_computed")[n].alias(n) for n in columns])
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered for up to `limit` words at a time."""
+_BLOCK = 1 << 19
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-    def __init__(self, seed: int, limit: int = 200_000):
-        super().__init__()
-        import xxhash
 
-        self._hash, self._seed, self._limit = xxhash.xxh64_intdigest, seed, limit
+def mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """An odd 64-bit constant for each number."""
+    x = (x.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    return x | np.uint64(1)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self._limit:
-            self.clear()
-        self[word] = value = self._hash(word, self._seed)
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _block_hashes(raw: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    inside = ~_SPACES[raw]
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+    starts = at[first]
+    place = at - np.repeat(starts, np.diff(np.append(first, len(at))))
+    letters = np.random.default_rng(seed).integers(0, 2**64, 256, dtype=np.uint64)
+    values = letters[raw[at]] * mixed(np.arange(int(place.max()) + 1), seed)[place]
+    return np.add.reduceat(values, first), starts
+
+
+def word_hashes(texts: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit multilinear hash of every word of all texts, and the number of its text.
+
+    Bytes are hashed as whole arrays, in blocks that end between words.
+    """
+    joined = b"\n".join(texts)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    hashes, starts, at = [], [], 0
+    while at < len(joined):
+        end = min(at + _BLOCK, len(joined))
+        while end < len(joined) and not _SPACES[joined[end]]:
+            end += 1
+        h, s = _block_hashes(np.frombuffer(joined, np.uint8, end - at, at), seed)
+        hashes.append(h), starts.append(s + at)
+        at = end
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.searchsorted(ends, np.concatenate(starts), side="right")
 
 
 def _odd_constants(n: int, seed: int) -> np.ndarray:

@@ -17,7 +17,8 @@ alike. The steps:
    consecutive ones that advance along the same source coordinates join into
    long spans, which are cut from the document.
 
-Paths and edges are told apart by 128 bits of hashes of their words. Counts and
+Paths and edges are told apart by 128 bits of hashes of their words (minimizer
+and own hash, from unlike functions). Counts and
 minima are pre-aggregated; joins on common passages are sort-merge joins whose
 large side adaptive execution splits.
 
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, id_text, materialize, release_shuffles, rolling, table
+from .common import forget, id_text, materialize, mixed, release_shuffles, rolling, table, word_hashes
 
 
 @dataclass(frozen=True)
@@ -53,66 +54,56 @@ def _split(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def _minimizers(hashes: np.ndarray, cfg: Repeats) -> np.ndarray:
-    """For each window, the least hash of the runs inside it."""
-    runs, inside = rolling(hashes, cfg.run, 1), cfg.window - cfg.run + 1
+def _windows(texts: list[bytes], cfg: Repeats):
+    """Of all texts' windows together: minimizers, edge hashes, text number, place in the text."""
+    hashes, text = word_hashes(texts, cfg.seeds[0])
+    n, k = len(hashes) - cfg.window + 1, cfg.window
+    if n <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    runs, inside = rolling(hashes, cfg.run, 1), k - cfg.run + 1
     low, have = runs, 1
     while have < inside:
         step = min(have, inside - have)
         low = np.minimum(low[:-step], low[step:])
         have += step
-    return low
+    edges = rolling(word_hashes(texts, cfg.seeds[1])[0], k, 2)
+    firsts = np.searchsorted(text, np.arange(len(texts)))
+    whole = text[:n] == text[k - 1 :]  # windows across two texts aren't
+    where = np.arange(n)[whole]
+    mine = text[where]
+    return low[where], edges[where], mine, where - firsts[mine]
 
 
-def _mixed(places: np.ndarray, seed: int) -> np.ndarray:
-    """An odd constant for each place in a path."""
-    x = (places.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    return x | np.uint64(1)
-
-
-class _Paths:
-    """The paths of one document whose minimizers are wanted."""
-
-    def __init__(self, cfg: Repeats):
-        self.cfg, self.words = cfg, [WordHashes(s) for s in cfg.seeds]
-
-    def __call__(self, words: list[bytes], wanted: np.ndarray):
-        """(minimizer, start, edges, path hashes, edge hashes) as arrays; the last two are pairs."""
-        first = self.words[0].of(words)
-        least = _minimizers(first, self.cfg)
-        starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        lengths = np.diff(np.append(starts, len(least)))
-        edges = [rolling(h, self.cfg.window, 2 + i) for i, h in enumerate((first, self.words[1].of(words)))]
-        places = np.arange(len(least)) - np.repeat(starts, lengths)
-        paths = [np.add.reduceat(e * _mixed(places, 7 + i), starts) for i, e in enumerate(edges)]
-        keep = np.isin(least[starts], wanted)
-        inside = np.repeat(keep, lengths)
-        return least[starts][keep], starts[keep], lengths[keep], [p[keep] for p in paths], [e[inside] for e in edges]
+def _segments(low: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Where a new path begins: another minimizer, or another text."""
+    return np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (text[1:] != text[:-1])])) if len(low) else low.astype(np.int64)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _parts(b: pa.RecordBatch, size: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch with about so many bytes of text each."""
+    texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+    at = total = 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= size or i + 1 == len(texts):
+            yield b.slice(at, i + 1 - at), texts[at : i + 1]
+            at, total = i + 1, 0
+
+
 def _sketch(docs: DataFrame, cfg: Repeats) -> DataFrame:
-    """(doc, m): the different minimizers of each document."""
+    """(doc, m): the minimizers of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(cfg.seeds[0])
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                found, counts = [], []
-                for t in part.column("text"):
-                    words = _split(t.as_py())
-                    short = len(words) < cfg.window
-                    found.append(np.empty(0, np.uint64) if short else np.unique(_minimizers(hashes.of(words), cfg)))
-                    counts.append(len(found[-1]))
-                ids = np.repeat(part.column("doc").to_numpy(), counts)
-                yield pa.record_batch([pa.array(ids, pa.int64()), _signed(np.concatenate(found))], ["doc", "m"])
+            for part, texts in _parts(b):
+                low, _, text, _ = _windows(texts, cfg)
+                first = _segments(low, text)
+                ids = part.column("doc").to_numpy()[text[first]]
+                yield pa.record_batch([pa.array(ids, pa.int64()), _signed(low[first])], ["doc", "m"])
 
     return docs.mapInArrow(run, "doc long, m long")
 
@@ -123,68 +114,69 @@ def _marked(docs: DataFrame, cfg: Repeats) -> DataFrame:
     ends = sketch.groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     shared = ends.where("lo < hi").select(F.col("m").alias("_m"))
     marks = sketch.join(shared, F.col("m") == F.col("_m")).groupBy("doc").agg(F.collect_set("m").alias("ms"))
-    return materialize(marks, "marks")
+    marks = materialize(marks, "marks")
+    forget(sketch)
+    return marks
 
 
 def _paths(docs: DataFrame, marks: DataFrame, cfg: Repeats) -> DataFrame:
-    """Rows (m, p1, p2, doc, copy, at, n, e1, e2): paths and the hashes of their edges."""
+    """Rows (m, p, doc, copy, at, n, edges): paths with a shared minimizer, and their edges' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = _Paths(cfg)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part, rows = b.slice(at, 256), []
-                for text, doc, ms in zip(part.column("text"), part.column("doc"), part.column("ms")):
-                    raw = text.as_py()
-                    words = _split(raw)
-                    if len(words) >= cfg.window:
-                        got = paths(words, ms.values.to_numpy().view(np.uint64))
-                        rows.append((got, doc.as_py(), zlib.crc32(raw.encode("utf-8", "surrogatepass"))))
-                if not rows:
-                    continue
-                flat = lambda i: np.concatenate([r[0][i] for r in rows])
-                pair = lambda i, j: np.concatenate([r[0][i][j] for r in rows])
-                sizes, n = [len(r[0][0]) for r in rows], flat(2)
+            for part, texts in _parts(b):
+                low, edges, text, at = _windows(texts, cfg)
+                first = _segments(low, text)
+                n = np.diff(np.append(first, len(low)))
+                place = np.arange(len(low)) - np.repeat(first, n)
+                paths = np.add.reduceat(edges * mixed(place, 7), first) if len(first) else edges
+                # A minimizer is shared or not in all documents alike: each document's list has those it has.
+                keep = np.isin(low[first], part.column("ms").flatten().to_numpy().view(np.uint64))
+                inside, first, n = np.repeat(keep, n), first[keep], n[keep]
+                copies = np.array([zlib.crc32(t) for t in texts], np.int64)
                 ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 yield pa.record_batch(
                     [
-                        _signed(flat(0)), _signed(pair(3, 0)), _signed(pair(3, 1)),
-                        pa.array(np.repeat([r[1] for r in rows], sizes), pa.int64()),
-                        pa.array(np.repeat([r[2] for r in rows], sizes), pa.int64()),
-                        pa.array(flat(1).astype(np.int32)), pa.array(n.astype(np.int32)),
-                        pa.ListArray.from_arrays(ends, _signed(pair(4, 0))),
-                        pa.ListArray.from_arrays(ends, _signed(pair(4, 1))),
+                        _signed(low[first]), _signed(paths[keep]),
+                        pa.array(part.column("doc").to_numpy()[text[first]], pa.int64()),
+                        pa.array(copies[text[first]]), pa.array(at[first].astype(np.int32)),
+                        pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(ends, _signed(edges[inside])),
                     ],
-                    ["m", "p1", "p2", "doc", "copy", "at", "n", "e1", "e2"],
+                    ["m", "p", "doc", "copy", "at", "n", "edges"],
                 )
 
     marked = docs.join(marks.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc")).drop("_doc")
-    kind = "m long, p1 long, p2 long, doc long, copy long, at int, n int, e1 array<long>, e2 array<long>"
+    kind = "m long, p long, doc long, copy long, at int, n int, edges array<long>"
     return materialize(marked.mapInArrow(run, kind), "paths")
 
 
-def _spans(paths: DataFrame) -> DataFrame:
-    """(doc, copy, at, n, src, src_at): runs of edges that a smaller document has, and where."""
-    place = F.struct("doc", "at")
-    words = F.struct("p1", "p2")
+def _compacted(paths: DataFrame) -> DataFrame:
+    """paths whose minimizer two documents have, with src, its smallest (doc, at).
+
+    A path that doesn't branch needs no edges any more: they are null. Of a
+    branching path src means nothing.
+    """
     graph = paths.groupBy("m").agg(
-        F.min(place).alias("src"), F.max("doc").alias("hi"), F.min(words).alias("a"), F.max(words).alias("z")
+        F.min(F.struct("doc", "at")).alias("src"), F.max("doc").alias("hi"), F.min("p").alias("a"), F.max("p").alias("z")
     )
     graph = graph.where("src.doc < hi").select(F.col("m").alias("_m"), "src", (F.col("a") == F.col("z")).alias("single"))
-    single = paths.join(graph.where("single"), F.col("m") == F.col("_m")).where("doc > src.doc")
-    single = single.select("doc", "copy", "at", "n", F.col("src.doc").alias("src"), F.col("src.at").alias("src_at"))
-
-    # Branching paths, edge by edge.
-    branching = paths.join(graph.where("not single").select("_m"), F.col("m") == F.col("_m"))
-    edges = branching.select("doc", "copy", "at", F.posexplode(F.arrays_zip("e1", "e2")).alias("i", "e"))
-    edges = edges.select("doc", "copy", (F.col("at") + F.col("i")).alias("at"), "e.e1", "e.e2")
-    firsts = edges.groupBy("e1", "e2").agg(F.min(place).alias("src"), F.max("doc").alias("hi")).where("src.doc < hi")
-    firsts = firsts.select(F.col("e1").alias("_e1"), F.col("e2").alias("_e2"), "src")
-    later = edges.join(firsts, (F.col("e1") == F.col("_e1")) & (F.col("e2") == F.col("_e2"))).where("doc > src.doc")
-    later = later.select(
-        "doc", "copy", "at", F.lit(1).alias("n"), F.col("src.doc").alias("src"), F.col("src.at").alias("src_at")
-    )
-    return single.unionByName(later)
+    joined = paths.join(graph, F.col("m") == F.col("_m")).where("not single or doc > src.doc")
+    edges = F.when(~F.col("single"), F.col("edges")).alias("edges")
+    return materialize(joined.select("m", "doc", "copy", "at", "n", "src", edges), "compacted")
+
+
+def _spans(compacted: DataFrame) -> DataFrame:
+    """(doc, copy, at, n, src, src_at): runs of edges that a smaller document has, and where."""
+    source = (F.col("src.doc").alias("src"), F.col("src.at").alias("src_at"))
+    single = compacted.where("edges is null").select("doc", "copy", "at", "n", *source)
+    branching = compacted.where("edges is not null")
+    edges = branching.select("m", "doc", "copy", "at", F.posexplode("edges").alias("i", "e"))
+    edges = edges.select("m", "e", "doc", "copy", (F.col("at") + F.col("i")).alias("at"))
+    # Equal edges have equal minimizers; with both, edges are told apart by 128 bits.
+    firsts = edges.groupBy("m", "e").agg(F.min(F.struct("doc", "at")).alias("src"), F.max("doc").alias("hi"))
+    firsts = firsts.where("src.doc < hi").select(F.col("m").alias("_m"), F.col("e").alias("_e"), "src")
+    later = edges.join(firsts, (F.col("m") == F.col("_m")) & (F.col("e") == F.col("_e"))).where("doc > src.doc")
+    return single.unionByName(later.select("doc", "copy", "at", F.lit(1).alias("n"), *source))
 
 
 def repeated_spans(docs: DataFrame, cfg: Repeats = Repeats()) -> DataFrame:
@@ -197,9 +189,14 @@ def repeated_spans(docs: DataFrame, cfg: Repeats = Repeats()) -> DataFrame:
     marks = _marked(docs, cfg)
     release_shuffles(spark)
     paths = _paths(docs, marks, cfg)
+    forget(marks)
+    release_shuffles(spark)
+    compacted = _compacted(paths)
+    forget(paths)
     release_shuffles(spark)
-    found = _spans(paths).groupBy("doc", "copy").agg(F.collect_list(F.struct("at", "n", "src", "src_at")).alias("spans"))
+    found = _spans(compacted).groupBy("doc", "copy").agg(F.collect_list(F.struct("at", "n", "src", "src_at")).alias("spans"))
     spans = materialize(found, "spans")
+    forget(compacted)
     release_shuffles(spark)
     return spans
 
@@ -238,7 +235,7 @@ def without_repeats(docs: DataFrame, cfg: Repeats = Repeats()) -> DataFrame:
                     for a, z in reversed(long_spans(cut, k) if cut else []):
                         del words[a:z]
                     kept = b" ".join(words)
-                    out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+                    out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
                 cols = [pa.array(c) for c in zip(*out)]
                 yield pa.record_batch(
                     [part.column("doc_id"), cols[0].cast(pa.int64()), cols[1].cast(pa.int64()), cols[2], cols[3]],
