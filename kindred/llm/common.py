@@ -81,7 +81,15 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in one Arrow batch: a Python worker holds one batch, and texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -92,6 +100,7 @@ def col(name: str) -> Column:
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names: other columns can't clash."""
+    bound_batches(docs.sparkSession)
     return docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
 
 

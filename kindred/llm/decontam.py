@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, id_text, table
+from .common import bound_batches, col, id_text, table
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -227,6 +227,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cfg: Decontamination =
     document of which at least max_coverage is hit goes whole. n_chars, if
     there, follows the text.
     """
+    bound_batches(docs.sparkSession)
     scan, names = Scanner(docs.sparkSession, benchmark, cfg), docs.columns
 
     def cleaned(text: str, spans: list[tuple[int, int]]) -> str:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, table
+from .common import bound_batches, id_text, table
 from .tagger import Tagger, symbols
 
 KINDS = ("email", "ip", "card", "phone")
@@ -310,6 +310,7 @@ def redact_text(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, cfg: Pii = Pii()) -> DataFrame:
     """docs with personal data replaced; the same columns and rows. n_chars, if there, follows the text."""
+    bound_batches(docs.sparkSession)
     weights = docs.sparkSession.sparkContext.broadcast(trained(cfg))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -173,7 +173,7 @@ class ShardSearch:
                 label[:] = up
 
     def _compare(self, home: np.ndarray, others: np.ndarray) -> None:
-        rows = max(1, 2_000_000 // max(len(others), 1))
+        rows = max(1, 250_000 // max(len(others), 1))
         for at in range(0, len(home), rows):
             part = home[at : at + rows]
             near = np.bitwise_count(self.fps[part][:, None] ^ self.fps[others][None, :]) <= self.radius
