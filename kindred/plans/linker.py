@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import blocking, decode, evaluate, features, model, sampling
+from ..operators import blocking, decode, evaluate, features, knn, model, sampling
 from ..operators.windows import top_rows
 from ..sources.tables import with_columns
 from .config import LinkConfig
@@ -38,9 +38,7 @@ def quick_match(s1: DataFrame, s23: DataFrame, threshold: float = 0.6) -> DataFr
     """(id1, id2, p) without a model: the most similar core name of the country, if similar enough."""
     name = blocking.View("nm", F.col("name_core"))
     a, b = blocking.view_weights(s1, s23, name)
-    from ..operators.knn import sparse_similarities
-
-    return decode.decode(sparse_similarities(a, b).withColumnRenamed("sim", "p"), threshold)
+    return decode.decode(knn.sparse_best(a, b, 0, 2).withColumnRenamed("sim", "p"), threshold)
 
 
 def _kept(df: DataFrame) -> DataFrame:
