@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import blocking, decode, evaluate, features, knn, model, sampling
 from ..operators.windows import top_rows
+from ..sources.scratch import written
 from ..sources.tables import with_columns
 from .config import LinkConfig
 
@@ -41,10 +41,6 @@ def quick_match(s1: DataFrame, s23: DataFrame, threshold: float = 0.6) -> DataFr
     return decode.decode(knn.sparse_best(a, b, 0, 2).withColumnRenamed("sim", "p"), threshold)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 @dataclass
 class Fitted:
     """Two models, the decision's settings and the cross-validated report."""
@@ -66,12 +62,11 @@ class Linker:
         """Pairs with the first model's features."""
         cfg = self.config
         blocked = blocking.block(s1, s23, scale=cfg.scale, keep=cfg.keep)
-        blocked.pairs = _kept(blocked.pairs)
-        return features.cheap_features(blocked, s1, s23)
+        return written(features.cheap_features(blocked, s1, s23), "cheap")
 
     def second_features(self, pairs: DataFrame, s1: DataFrame, s23: DataFrame) -> DataFrame:
         """The best few of each noisy record by p1, with stacked and string features."""
-        best = _kept(top_rows(pairs, "p1", "id2", "id1", self.config.keep_second))
+        best = written(top_rows(pairs, "p1", "id2", "id1", self.config.keep_second), "best")
         return features.string_features(features.stack_features(best), s1, s23)
 
     def fit(self, s1: DataFrame, s23: DataFrame, links: DataFrame) -> Fitted:
@@ -81,21 +76,21 @@ class Linker:
         out-of-fold, and so are those that the threshold is chosen by.
         """
         cfg = self.config
-        s1, s23 = _kept(s1), _kept(s23)
-        links = _kept(sampling.links_present(links, s1, s23))
+        s1, s23 = written(s1, "s1"), written(s23, "s23")
+        links = written(sampling.links_present(links, s1, s23), "links")
         pairs = self.candidates(s1, s23)
         chosen = s1.where(sampling.sampled(F.col("entity_id"), cfg.share, cfg.seed)) if cfg.share < 1 else s1
         if cfg.countries:
             chosen = chosen.where(F.col("country_n").isin(*cfg.countries))
-        ids = _kept(chosen.select(F.col("entity_id").alias("id1"), "country_n"))
+        ids = written(chosen.select(F.col("entity_id").alias("id1"), "country_n"), "ids")
         rows = sampling.touched(pairs, ids, "combo", cfg.touch_rank) if cfg.share < 1 or cfg.countries else pairs
-        rows = _kept(sampling.label(rows, links))
+        rows = written(sampling.label(rows, links), "rows")
         columns = features.feature_columns(rows)
-        scored = _kept(model.out_of_fold(rows, columns, cfg.folds_first, cfg.trees, "p1"))
+        scored = written(model.out_of_fold(rows, columns, cfg.folds_first, cfg.trees, "p1"), "scored")
         first = model.fit(rows, columns, cfg.trees)
-        second_rows = _kept(self.second_features(scored, s1, s23))
+        second_rows = written(self.second_features(scored, s1, s23), "second")
         second_columns = features.feature_columns(second_rows)
-        final = _kept(model.out_of_fold(second_rows, second_columns, cfg.folds_second, cfg.trees, "p"))
+        final = written(model.out_of_fold(second_rows, second_columns, cfg.folds_second, cfg.trees, "p"), "final")
         mine = links.join(ids.select("id1"), "id1", "left_semi")
         threshold, margin = evaluate.best_setting(evaluate.threshold_grid(final, mine, ids))
         scores = evaluate.entity_scores(ids, decode.decode(final, threshold, margin), mine)
@@ -126,10 +121,10 @@ class Linker:
 
     def score(self, fitted: Fitted, s1: DataFrame, s23: DataFrame) -> DataFrame:
         """(id1, id2, p) of the pairs that the second model sees: the candidates of the result."""
-        s1, s23 = _kept(s1), _kept(s23)
+        s1, s23 = written(s1, "s1"), written(s23, "s23")
         pairs = fitted.first.score(self.candidates(s1, s23), "p1")
         rows = self.second_features(pairs, s1, s23)
-        return _kept(fitted.second.score(rows).select("id1", "id2", "p"))
+        return written(fitted.second.score(rows).select("id1", "id2", "p"), "result")
 
     def transform(self, fitted: Fitted, s1: DataFrame, s23: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(candidates, matches)."""
