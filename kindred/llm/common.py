@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -77,8 +78,10 @@ def release_shuffles(spark: SparkSession) -> None:
     Spark removes them when the driver's JVM collects its garbage, by default
     every half hour; a phase that has been materialized needs them no longer.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # objects freed in the first round hold others; the cleaner works in its own thread
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
