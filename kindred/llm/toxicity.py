@@ -15,7 +15,6 @@ as several; with no label of one of the classes all texts score 0.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import col, id_text, table
 
-_WORDS = re.compile(rb"[a-z0-9'\x80-\xff]+")
+#: Bytes of words; all others separate them.
+_KEPT = np.array([c if chr(c).isalnum() and c < 128 or c == 39 or c > 127 else 32 for c in range(256)], np.uint8)
 
 
 @dataclass(frozen=True)
@@ -44,28 +44,36 @@ class Toxicity:
 
 
 class Grams:
-    """The different hashed n-grams of a text, through a bounded table of its words' n-grams."""
-
-    def __init__(self, cfg: Toxicity, limit: int = 100_000):
-        import xxhash
-
-        self.cfg, self.limit, self.known = cfg, limit, {}
-        self._hash, self._mask = xxhash.xxh32_intdigest, (1 << cfg.bits) - 1
-
-    def word(self, word: bytes) -> np.ndarray:
-        if (got := self.known.get(word)) is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            w = b" " + word + b" "
-            found = {self._hash(w[i : i + n], n) & self._mask for n in self.cfg.grams for i in range(len(w) - n + 1)}
-            got = np.fromiter(found, np.int32, len(found))
-            if len(word) <= 64:
-                self.known[word] = got
-        return got
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = set(_WORDS.findall((text or "").lower().encode("utf-8", "surrogatepass")))
-        return np.unique(np.concatenate([self.word(w) for w in words])) if words else np.empty(0, np.int32)
+    """The hashed n-grams of a text's words, a space on either side of each word counting as its part.
+
+    The whole text is hashed as one array of bytes; an n-gram with a space
+    inside spans two words and doesn't count.
+    """
+
+    def __init__(self, cfg: Toxicity):
+        rng = np.random.default_rng(cfg.seed)
+        self.letters = rng.integers(0, 2**64, 256, dtype=np.uint64)
+        self.places = {n: rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in cfg.grams}
+        self.shift = np.uint64(64 - cfg.bits)
+
+    def all(self, text: str | None) -> Iterator[np.ndarray]:
+        """For each n, the hashes of all n-grams, repeats included."""
+        raw = _KEPT[np.frombuffer(f" {(text or '').lower()} ".encode("utf-8", "surrogatepass"), np.uint8)]
+        values = self.letters[raw]
+        spaces = np.concatenate([[0], np.cumsum(raw == 32)])
+        for n, places in self.places.items():
+            size = len(raw) - n + 1
+            if size > 0:
+                whole = np.flatnonzero(spaces[n - 1 : n - 1 + size] == spaces[1 : 1 + size])
+                hashes = np.zeros(size, np.uint64)
+                for j, c in enumerate(places):
+                    hashes += values[j : j + size] * c
+                yield (hashes[whole] >> self.shift).astype(np.int32)
+
+    def __call__(self, text: str | None, wanted: np.ndarray | None = None) -> np.ndarray:
+        """The different hashes; with `wanted`, a mask over all hashes, only those in it."""
+        parts = [h if wanted is None else h[wanted[h]] for h in self.all(text)]
+        return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int32)
 
 
 class Classifier:
@@ -135,9 +143,9 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        grams = Grams(model.cfg)
+        grams, wanted = Grams(model.cfg), model.weight != 0
         for b in batches:
-            scores = [model.score(grams(t.as_py())) for t in b.column("text")]
+            scores = [model.score(grams(t.as_py(), wanted)) for t in b.column("text")]
             yield pa.record_batch([b.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
