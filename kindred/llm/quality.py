@@ -33,9 +33,9 @@ class QualityRules:
     #: The document goes if its kept lines have less than this share of its word characters.
     min_kept_percent: int = 50
     boilerplate: str = (
-        r"(?i)lorem ipsum|enable javascript|javascript (is )?(disabled|required)|cookie (policy|settings)|"
+        r"(?i)\b(?:lorem ipsum|enable javascript|javascript (is )?(disabled|required)|cookie (policy|settings)|"
         r"accept (all )?cookies|privacy policy|terms of (use|service)|all rights reserved|"
-        r"click here to|sign in to|log in to continue|subscribe to our newsletter"
+        r"click here to|sign in to|log in to continue|subscribe to our newsletter)"
     )
 
 
