@@ -49,8 +49,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 class Pii:
     window: int = 64
     stride: int = 32
-    train_windows: int = 2400
-    epochs: int = 7
+    train_windows: int = 4000
+    epochs: int = 9
     seed: int = 11
     #: Windows decoded at once.
     batch: int = 512
