@@ -195,8 +195,9 @@ class ShardSearch:
                 continue
             v, mu = split
             d, e = _distance(self.fps[home], v).astype(np.int64), _distance(self.fps[visitors], v).astype(np.int64)
-            self._merge(np.full(int((d <= self.radius // 2).sum()), home[d <= self.radius // 2][0])
-                        if (d <= self.radius // 2).any() else np.empty(0, np.int64), home[d <= self.radius // 2])
+            ball = home[d <= self.radius // 2]  # so near the vantage point that all are linked
+            if len(ball):
+                self._merge(np.full(len(ball), ball[0]), ball)
             r, inner = self.radius, d <= mu
             crossing = home[(d > mu) & (d - r <= mu)]
             into = np.concatenate([visitors[e - r <= mu], crossing])

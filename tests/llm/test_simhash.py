@@ -82,7 +82,7 @@ def _merge(n, edges):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         up[y] = x
-    return [min(i for i in range(n) if find(i) == find(j)) if False else find(j) for j in range(n)]
+    return [find(j) for j in range(n)]
 
 
 def test_components(spark):
