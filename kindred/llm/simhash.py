@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, table
+from .common import col, id_text, materialize, table
 from .components import components
 
 
@@ -67,14 +67,17 @@ def fingerprint(text: str | None, k: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, cfg: SimHash = SimHash()) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp), fp as a signed 64-bit number."""
+    """(doc_id, text) -> (doc_id, fp), fp as a signed 64-bit number; other long columns stay."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), cfg.shingle, cfg.seed) for t in b.column("text")], np.uint64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            kept = ["doc_id", *others]
+            yield pa.record_batch([*map(b.column, kept), pa.array(fps.view(np.int64))], [*kept, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    kind = ", ".join(f"{c} long" for c in ("doc_id", *others, "fp"))
+    return docs.select(F.col("doc_id").cast("long"), "text", *others).mapInArrow(run, kind)
 
 
 def hex_digits(fp: Column) -> Column:
@@ -249,18 +252,34 @@ def near_duplicates(docs: DataFrame, cfg: SimHash = SimHash()) -> DataFrame:
     return fps.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, cfg: SimHash = SimHash()) -> DataFrame:
-    """docs with one document of each group: the one whose id is the group's smallest.
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """128 bits that tell texts apart, as columns h and g."""
+    return F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")
+
+
+def one_of_each(docs: DataFrame, marks: DataFrame, roots: DataFrame) -> DataFrame:
+    """docs with one row of each group: that of the least id (null last), then of the least text hash.
 
-    A repeated id counts as one document; of its rows the one with the least
-    text stays.
+    marks has (doc_id, h, g, fp), a row for each of docs; roots (node, root)
+    joins linked fp. Rows are told apart by id and text, never by the id alone.
     """
-    found = near_duplicates(id_text(docs), cfg)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    names = docs.columns
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep"))).drop("_keep")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*names)
+    rooted = marks.join(roots, F.col("fp") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "fp"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), "h", "g")).alias("m")
+    keys = ["_keep_n", "_keep_i", "_keep_h", "_keep_g"]
+    keep = rooted.groupBy("_root").agg(least).select(*[F.col("m")[k[-1]].alias(k) for k in keys])
+    i, (h, g) = F.col("doc_id").cast("long"), text_hashes(F.col("text").cast("string"))
+    keyed = docs.select("*", i.isNull().alias(keys[0]), F.coalesce(i, F.lit(0)).alias(keys[1]), h.alias(keys[2]), g.alias(keys[3]))
+    first = Window.partitionBy(*keys).orderBy("text")
+    kept = keyed.join(keep, keys, "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    return kept.select(*[col(c) for c in docs.columns])
+
+
+def keep_one(docs: DataFrame, cfg: SimHash = SimHash()) -> DataFrame:
+    """docs with one row of each group of near copies, whatever the rows' ids."""
+    rows = id_text(docs)
+    marks = materialize(fingerprints(rows.select("*", *text_hashes(F.col("text"))), cfg), "marks")
+    distinct = materialize(marks.select("fp").distinct(), "distinct")
+    return one_of_each(docs, marks, components(links(distinct, cfg), "simhash"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

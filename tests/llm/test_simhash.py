@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from kindred.llm import simhash
 from kindred.llm.components import components
 
-from .helpers import TEXTS, awkward, empty, same_columns
+from .helpers import BASE, TEXTS, awkward, empty, same_columns
 
 
 def brute_fingerprint(text):
@@ -123,3 +123,11 @@ def test_null_ids_alone(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (None, "a b c d")], "doc_id long, text string")
     assert [r.component_id for r in simhash.near_duplicates(docs).collect()] == [None, None]
     assert simhash.keep_one(docs).count() == 1
+
+
+def test_keep_one_goes_by_row(spark):
+    """Rows that share an id, or have none, are judged by their texts."""
+    a, b, c = ("alpha " + BASE, "".join(f"beta{i} " for i in range(50)), "".join(f"gamma{i} " for i in range(50)))
+    rows = [(3, a), (7, a), (7, b), (None, b), (None, c), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(docs).collect()) == sorted([(3, a), (7, b), (0, c)])
