@@ -183,10 +183,10 @@ def address_from_url(spark, d):
 
 @query("romanize")
 def romanize(spark, d):
-    """Each document's words in a Brahmic alphabet (letters by place), romanised."""
+    """Each document's whole text in a Brahmic alphabet (letters by place), romanised."""
     letters = "abdghijklmnoprstuv"
     deva = "अबदगहइजकलमनओपरसतउव"
-    text = F.translate(F.lower(F.regexp_extract("text", r"^\S+", 0)), letters, deva)
+    text = F.translate(F.lower("text"), letters, deva)
     return _table(spark, d, "documents").select("doc_id", T.romanize_col(text).alias("romanized"))
 
 
