@@ -6,8 +6,9 @@ bidirectional LSTM with CRF transitions tags overlapping windows of the whole
 text, each character takes its tag from the window in which it lies nearest the
 middle, and the resulting runs count if they pass their kind's plausibility
 test and don't touch a base span. Every kind needs a digit or an at sign by that
-test, so a window without either is all "outside" and is not decoded; nothing
-else is skipped.
+test, so a window without either is not decoded. The local part and the host of
+an address may reach from a decoded window into such ones: an address that the
+tagger finds there is grown to the ends of the words that its ends lie in.
 
 The tagger learns from labelled spans that `labelled_windows` writes with a
 fixed seed: it doesn't depend on the corpus, and is fitted once in a process.
@@ -44,6 +45,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
+_HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-")
+
 
 @dataclass(frozen=True)
 class Pii:
@@ -250,16 +253,28 @@ def all_spans(texts: list[str | None], tagger: Tagger, cfg: Pii = Pii()) -> list
             free[a:b] = False
         added = []
         for kind, a, b in _runs(t):
+            if kind == 0:
+                a, b = _grown(text, a, b)
             while a < b and text[a] in " \t\n\r\x0b\x0c,;:.":
                 a += 1
             while a < b and text[b - 1] in " \t\n\r\x0b\x0c,;:.":
                 b -= 1
             if a < b and free[a:b].all() and plausible(kind, text[a:b]) and _whole(text, a, b):
                 added.append((kind, a, b))
-        out[i] = (base, sorted(base + added))
+        out[i] = (base, sorted(base + list(dict.fromkeys(added))))
     return out
 
 
+def _grown(text: str, a: int, b: int) -> tuple[int, int]:
+    """An address tagged in part, to the ends of the words that its ends lie in, past what was decoded."""
+    low, high = max(0, b - 255), min(len(text), a + 255)  # beyond it isn't plausible
+    while a > low and text[a] in _LOCAL and text[a - 1] in _LOCAL:
+        a -= 1
+    while b < high and text[b - 1] in _HOST and text[b] in _HOST:
+        b += 1
+    return a, b
+
+
 def _whole(text: str, a: int, b: int) -> bool:
     """Not a piece cut out of a longer word or number."""
     inner = lambda c: c.isalnum() or c in "_=@"

@@ -103,3 +103,18 @@ def test_query_and_redaction(spark):
     assert texts[12] == "mail [EMAIL] now" and texts[6] == TEXTS[6] and texts[0] is None
     assert pii.redact(empty(spark)).count() == 0 == pii.find(empty(spark).select("doc_id", "text")).count()
     assert pii.redact_text("abcdef", [(0, 1, 4), (2, 2, 3), (3, 3, 5)]) == "a[EMAIL]f"
+
+
+def test_long_addresses_at_all_offsets():
+    """An address whose parts reach into windows without a digit or an at sign is found wherever it lies."""
+    long = (("bartholomew.montgomery", "x.com"), ("jane.doe", "internationalbusinessassociation.org"), ("maximiliane.featherstonehaugh-cholmondeley", "y.net"))
+    prose = "and so the letter went out again to all of the people that had asked for it in the spring or had been told of it by a friend, "
+    cases = []
+    for local, host in long:
+        for at in (" @ ", "[@]"):
+            for offset in range(32):
+                before = prose[offset:]
+                cases.append((before + local + at + host + " " + prose, len(before), len(before + local + at + host)))
+    found = pii.all_spans([t for t, _, _ in cases], pii.trained())
+    hits = sum((0, a, b) in spans for (_, a, b), (_, spans) in zip(cases, found))
+    assert hits >= 0.97 * len(cases), hits
