@@ -2,8 +2,8 @@
 
 Each host's paths form a tree of segments. Segments that vary (numbers, long
 hexadecimal or slug-like strings) become a wildcard; children of one node whose
-labelled shares don't differ statistically are merged into a wildcard too, as
-are the rare children of a node with many. A template is rejected if its
+labelled shares don't differ statistically are merged into a wildcard too, alike
+at every number of children. A template is rejected if its
 smoothed share of blocked labels is high. The labels are the rules' own
 verdicts: a page no rule fits is judged by its template's labelled pages, and
 is allowed where there are none.
@@ -43,8 +43,6 @@ class Templates:
     least_labels: int = 20
     #: Shares that differ by fewer standard errors are similar.
     errors: float = 1.96
-    #: Children above which the rare ones (under a hundredth of their node's pages) are merged.
-    many_children: int = 200
     smoothing: float = 2.0
     reject_at: float = 0.8
 
@@ -94,15 +92,13 @@ def template_verdicts(pages: DataFrame, cfg: Templates = Templates()) -> DataFra
     children = steps.groupBy(*node, "segment").agg(*sums())
     nodes = children.groupBy(*node).agg(
         F.count(F.lit(1)).alias("_children"),
-        F.sum("n").alias("_n"),
         F.sum("labelled").alias("_labelled"),
         F.sum("blocked").alias("_blocked"),
     )
     both = children.join(nodes, list(node)).where("_children > 1 and segment <> '*'")
     rest = (F.col("_blocked") - F.col("blocked"), F.col("_labelled") - F.col("labelled"))
     alike = _similar((F.col("blocked"), F.col("labelled")), rest, cfg)
-    rare = (F.col("_children") > cfg.many_children) & (F.col("n") * 100 < F.col("_n"))
-    merged = both.where(alike | rare).select(*node, "segment", F.lit("*").alias("as"))
+    merged = both.where(alike).select(*node, "segment", F.lit("*").alias("as"))
     named = steps.join(merged, [*node, "segment"], "left").select(
         "host", "lexical", "n", "labelled", "blocked", "depth", F.coalesce("as", "segment").alias("segment")
     )

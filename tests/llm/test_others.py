@@ -159,6 +159,16 @@ def test_templates(spark):
     assert got["/bad/*"].purity == pytest.approx(31 / 32)
 
 
+@pytest.mark.parametrize("sections", [100, 300])
+def test_a_rare_blocked_branch_blocks_no_other(spark, sections):
+    """Unlabelled sections stay allowed beside a small blocked one, however many they are."""
+    rows = [("h.com", f"/en/{c}", "block") for c in "abcde"]
+    rows += [("h.com", "/part" + "abcdefghij"[i // 100] + "abcdefghij"[i // 10 % 10] + "abcdefghij"[i % 10] + f"/{c}", None) for i in range(sections) for c in "abcde"]
+    pages = spark.createDataFrame(rows, "host string, path string, given string").withColumn("lexical", urls._lexical(F.col("path")))
+    got = urls.template_verdicts(pages).where("verdict = 'block'").collect()
+    assert not [r for r in got if r.lexical[1] != "en"]
+
+
 # ---------------------------------------------------------------- toxicity
 
 
