@@ -12,6 +12,8 @@ than the id and the text are never read by the rules.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +35,16 @@ class QualityRules:
     #: The document goes if its kept lines have less than this share of its word characters.
     min_kept_percent: int = 50
     boilerplate: str = (
-        r"(?i)\b(?:lorem ipsum|enable javascript|javascript (is )?(disabled|required)|cookie (policy|settings)|"
+        r"(?i)(lorem ipsum|enable javascript|javascript (is )?(disabled|required)|cookie (policy|settings)|"
         r"accept (all )?cookies|privacy policy|terms of (use|service)|all rights reserved|"
         r"click here to|sign in to|log in to continue|subscribe to our newsletter)"
     )
+    #: One of these is in the lower-cased text wherever the pattern above fits; most texts have none.
+    boilerplate_parts: tuple[str, ...] = (
+        "lorem ipsum", "enable javascript", "javascript is ", "javascript disabled", "javascript required", "cookie policy",
+        "cookie settings", "accept cookies", "accept all cookies", "privacy policy", "terms of use", "terms of service",
+        "all rights reserved", "click here to", "sign in to", "log in to continue", "subscribe to our newsletter",
+    )
 
 
 def _words(text: Column) -> Column:
@@ -85,14 +93,23 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(text, SPACE + "+", "")
 
 
-def line_passes(line: Column, rules: QualityRules) -> Column:
-    """Whether one line stays. Lines without a word always do: they carry no text."""
+def _may_have_boilerplate(text: Column, rules: QualityRules) -> Column:
+    """False only if no line can match the boilerplate pattern."""
+    return let(F.lower(text), lambda t: reduce(or_, (t.contains(F.lit(p)) for p in rules.boilerplate_parts)))
+
+
+def line_passes(line: Column, rules: QualityRules, boilerplate: Column | None = None) -> Column:
+    """Whether one line stays. Lines without a word always do: they carry no text.
+
+    `boilerplate` may be false for lines that are known not to match that pattern.
+    """
     n = _count(line, WORD)
     chars = F.char_length(_bare(line)).cast("long")
     navigation = (_count(line, r"[|»›•]") * 100 >= n * rules.navigation_percent) & (n >= 4)
     odd = _count(line, r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:!?'\"()\-]") * 100 > chars * rules.max_odd_percent
     unpunctuated = (n < rules.short_line_words) & ~line.rlike(r"[.,;:!?…'\")]")
-    return (n == 0) | ~(navigation | odd | unpunctuated | line.rlike(rules.boilerplate))
+    fits = line.rlike(rules.boilerplate)
+    return (n == 0) | ~(navigation | odd | unpunctuated | (fits if boilerplate is None else boilerplate & fits))
 
 
 def quality_columns(text: Column, rules: QualityRules = QualityRules()) -> dict[str, Column]:
@@ -117,10 +134,11 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
         docs,
         _words=_words(text),
         _all=F.split(text, "\n"),
+        _maybe=_may_have_boilerplate(text, rules),
     )
     split = computed(split, _lines=F.filter("_all", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    clean = F.array_join(F.filter("_all", lambda x: line_passes(x, rules)), "\n")
-    out = computed(split, **quality_columns(text, rules), _clean=clean).drop("_words", "_all", "_lines")
+    clean = F.array_join(F.filter("_all", lambda x: line_passes(x, rules, F.col("_maybe"))), "\n")
+    out = computed(split, **quality_columns(text, rules), _clean=clean).drop("_words", "_all", "_lines", "_maybe")
     failed = (F.col("n_words") < rules.min_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent
     )

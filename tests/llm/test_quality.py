@@ -54,3 +54,16 @@ def test_cleaning_keeps_columns(spark):
 def test_native(spark):
     plan = quality.clean_documents(awkward(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_boilerplate_glued_to_other_letters(spark):
+    """A phrase fails its line wherever it stands, and the text's pre-test misses none that the pattern finds."""
+    phrases = [
+        "Lorem Ipsum", "enable JavaScript", "javascript is disabled", "JavaScript required", "javascript disabled", "javascript is required",
+        "cookie policy", "Cookie Settings", "accept all cookies", "accept cookies", "Privacy Policy", "terms of use", "Terms of Service",
+        "ALL RIGHTS RESERVED", "click here to", "sign in to", "log in to continue", "subscribe to our newsletter",
+    ]
+    good = "This is a plain line with a good many words in it, and it stays. It is long enough for the rules."
+    rows = [(i, f"{good}\n{glue}{p} and so on.") for i, (p, glue) in enumerate((p, g) for p in phrases for g in ("", "2024", "Home", "x_", "(c) "))]
+    got = quality.clean_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r.text for r in got} == {good}
