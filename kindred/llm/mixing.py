@@ -8,8 +8,8 @@ first. No step orders a whole source in one task.
 
 Defined results: null text has size 0 and nothing is taken from it; a null
 source is a source of its own, ordered last; equal rows keep their own places
-(ties in the key are ordered by id, then size, and each row counts); an empty
-table gives no rows.
+(ties in the key are ordered by id, then size, and each row counts); rows
+without an id take their key from the text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -100,9 +100,10 @@ def _with_source(rows: DataFrame, aims: DataFrame) -> DataFrame:
     return rows.join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
 
-def _key(doc_id: Column, mix: Mix) -> Column:
-    """Uniform in [0, 1): 53 bits of a hash of the id."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(mix.seed), doc_id), 11) / F.lit(float(2**53))
+def _key(doc_id: Column, text: Column, mix: Mix) -> Column:
+    """Uniform in [0, 1): 53 bits of a hash of the id, or of the text where there is no id."""
+    hashed = F.xxhash64(F.lit(mix.seed), doc_id, F.when(doc_id.isNull(), text))
+    return F.shiftrightunsigned(hashed, 11) / F.lit(float(2**53))
 
 
 def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -115,7 +116,7 @@ def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         doc_id.alias("doc_id"),
         col("source").cast("string").alias("source"),
         size_of(col("text")).alias("size"),
-        _key(doc_id, mix).alias("_key"),
+        _key(doc_id, col("text"), mix).alias("_key"),
         F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("_tie"),
     )
     mixed = cut(materialize(rows, "sizes"), mix)
@@ -125,7 +126,8 @@ def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix itself: a row for each time a document is taken, `epoch` from 0.
 
-    The columns of docs, then epoch, words (of this copy) and taken. Where the
+    The columns of docs, then mix_epoch, mix_words (of this copy) and mix_taken,
+    with an underscore after the name where docs has such a column itself. Where the
     budget ends inside a document, its last copy has only the first words,
     joined by one space, and n_chars follows. The texts travel with the keys to
     their ranges, one shuffle; rows need no unique id.
@@ -136,7 +138,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         F.struct(*[col(c) for c in names]).alias("_row"),
         col("source").cast("string").alias("source"),
         size_of(col("text")).alias("size"),
-        _key(doc_id, mix).alias("_key"),
+        _key(doc_id, col("text"), mix).alias("_key"),
         F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("_tie"),
     )
     mixed = cut(rows, mix).where("taken > 0")
@@ -151,13 +153,17 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     )
     copies = copies.withColumn("_text", text)
     put = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    added = {"mix_epoch": F.col("_epoch"), "mix_words": F.col("_words"), "mix_taken": F.col("taken")}
     return copies.select(
-        *[put.get(c, F.col("_row")[c]).alias(c) for c in names],
-        F.col("_epoch").alias("mix_epoch"),
-        F.col("_words").alias("mix_words"),
-        F.col("taken").alias("mix_taken"),
+        *[put.get(c, F.col("_row")[c]).alias(c) for c in names], *[value.alias(_free(name, names)) for name, value in added.items()]
     )
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))

@@ -18,7 +18,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, computed, id_text, let, table
+from .common import SPACE, WORD, col, computed, id_text, let, table
 
 
 @dataclass(frozen=True)
@@ -158,7 +158,7 @@ def clean_documents(docs: DataFrame, rules: QualityRules = QualityRules()) -> Da
 
     A column n_chars, if there, follows the cleaned text.
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
+    packed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("_row"), F.col("text"))
     good = judge(packed, rules).where("kept")
     put = {"text": F.col("_clean"), "n_chars": F.char_length("_clean").cast("long")}
     return good.select(*[put.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -268,10 +268,12 @@ def one_of_each(docs: DataFrame, marks: DataFrame, roots: DataFrame) -> DataFram
     keys = ["_keep_n", "_keep_i", "_keep_h", "_keep_g"]
     keep = rooted.groupBy("_root").agg(least).select(*[F.col("m")[k[-1]].alias(k) for k in keys])
     i, (h, g) = F.col("doc_id").cast("long"), text_hashes(F.col("text").cast("string"))
-    keyed = docs.select("*", i.isNull().alias(keys[0]), F.coalesce(i, F.lit(0)).alias(keys[1]), h.alias(keys[2]), g.alias(keys[3]))
-    first = Window.partitionBy(*keys).orderBy("text")
+    # The row travels as one column, so that no name of docs can clash.
+    whole = F.struct(*[col(c) for c in docs.columns]).alias("_row")
+    keyed = docs.select(whole, i.isNull().alias(keys[0]), F.coalesce(i, F.lit(0)).alias(keys[1]), h.alias(keys[2]), g.alias(keys[3]))
+    first = Window.partitionBy(*keys).orderBy(F.col("_row")["text"])
     kept = keyed.join(keep, keys, "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
-    return kept.select(*[col(c) for c in docs.columns])
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def keep_one(docs: DataFrame, cfg: SimHash = SimHash()) -> DataFrame:
