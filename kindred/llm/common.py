@@ -107,6 +107,16 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
 
 
+def rewritten(docs: DataFrame, run) -> DataFrame:
+    """docs through run, Arrow batches to Arrow batches of the same schema; only `text` and `n_chars` keep their names in it.
+
+    The function takes columns by name, and names with dots can't be taken so.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[c if c in ("text", "n_chars") else f"_{i}" for i, c in enumerate(names)])
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, col, id_text, table
+from .common import bound_batches, col, id_text, rewritten, table
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -255,7 +255,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cfg: Decontamination =
                     cols["n_chars"] = pa.array([None if t is None else len(t) for t in new], cols["n_chars"].type)
                 yield pa.RecordBatch.from_pydict(cols, part.schema).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rewritten(docs, run)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_text, table
+from .common import bound_batches, id_text, rewritten, table
 from .tagger import Tagger, symbols
 
 KINDS = ("email", "ip", "card", "phone")
@@ -341,7 +341,7 @@ def redact(docs: DataFrame, cfg: Pii = Pii()) -> DataFrame:
                     cols["n_chars"] = pa.array([None if t is None else len(t) for t in new], cols["n_chars"].type)
                 yield pa.RecordBatch.from_pydict(cols, part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rewritten(docs, run)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
