@@ -55,11 +55,11 @@ def seq_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio() if a else 1.0
 
 
-def token_sort_ratio(a: str, b: str) -> float:
-    return seq_ratio(*(" ".join(sorted(s.split())) for s in (a, b)))
+def token_sort_ratio(a: str, b: str, ratio: Callable[[str, str], float] = seq_ratio) -> float:
+    return ratio(*(" ".join(sorted(s.split())) for s in (a, b)))
 
 
-def token_set_ratio(a: str, b: str) -> float:
+def token_set_ratio(a: str, b: str, ratio: Callable[[str, str], float] = seq_ratio) -> float:
     """The best of: common tokens against each side, and the sides, common tokens first."""
     x, y = set(a.split()), set(b.split())
     if not (x and y):
@@ -68,7 +68,7 @@ def token_set_ratio(a: str, b: str) -> float:
     common = spell(x & y)
     left, right = ((common + " " + spell(own)).strip() for own in (x - y, y - x))
     pairs = [(left, right)] + ([(common, left), (common, right)] if common else [])
-    return max(seq_ratio(*p) for p in pairs)
+    return max(ratio(*p) for p in pairs)
 
 
 def jaccard(a: Sequence[str] | set, b: Sequence[str] | set) -> float:
@@ -96,6 +96,29 @@ def soft_match(a: Sequence[str], b: Sequence[str], least: float = 0.88) -> float
     return sum(map(found, few)) / len(few)
 
 
+def indel_ratio(a: str, b: str) -> float:
+    """Twice the longest common subsequence over both lengths; 1 if both are empty. Symmetric, unlike seq_ratio."""
+    if not a and not b:
+        return 1.0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above = 0
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], above + 1 if x == y else max(row[j], row[j - 1])
+    return 2 * row[-1] / (len(a) + len(b))
+
+
+def scorers(kind: str = "plain") -> dict[str, Callable[..., float]]:
+    """The string kernels of a kind: "plain", or "gated" (prefix boost above 0.7 only, whole transpositions, indel ratio)."""
+    if kind == "plain":
+        return {"jaro_winkler": jaro_winkler, "ratio": seq_ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio}
+    if kind != "gated":
+        raise ValueError(f"unknown scorers {kind!r}; known: plain, gated")
+    gated = lambda a, b: jaro_winkler(a, b, gate=0.7, floor_swaps=True)
+    by_token = lambda f: lambda a, b: f(a, b, indel_ratio)
+    return {"jaro_winkler": gated, "ratio": indel_ratio, "token_sort": by_token(token_sort_ratio), "token_set": by_token(token_set_ratio)}
+
+
 # ---------------------------------------------------------------- columns
 
 

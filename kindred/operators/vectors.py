@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,18 +23,30 @@ def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(tokens(text), of_word))
 
 
-def tfidf(texts: DataFrame, group: str = "grp", min_df: int = 2, low: int = 2, high: int = 4) -> DataFrame:
+def _counts(texts: DataFrame, group: str, low: int, high: int) -> DataFrame:
+    counts = texts.select("id", group, F.explode(char_ngrams(F.col("text"), low, high)).alias("gram"))
+    return counts.groupBy("id", group, "gram").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def idf(texts: DataFrame, group: str = "grp", min_df: int = 2, low: int = 2, high: int = 4) -> DataFrame:
+    """(id, grp, text) -> (grp, gram, idf), of grams that at least min_df of the group's texts have."""
+    sizes = texts.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    df = _counts(texts, group, low, high).groupBy(group, "gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    return df.join(sizes, group).select(group, "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def tfidf(
+    texts: DataFrame, group: str = "grp", min_df: int = 2, low: int = 2, high: int = 4, fitted: DataFrame | None = None
+) -> DataFrame:
     """(id, grp, text) -> (id, grp, gram, w): weights of unit length for each text.
 
     Sublinear counts, smoothed inverse document frequencies within the group,
-    grams in fewer than min_df of the group's texts left out.
+    grams in fewer than min_df of the group's texts left out. The frequencies
+    are those of these texts, or `fitted`, as `idf` gives them.
     """
-    counts = texts.select("id", group, F.explode(char_ngrams(F.col("text"), low, high)).alias("gram"))
-    counts = counts.groupBy("id", group, "gram").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = texts.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    df = counts.groupBy(group, "gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    idf = df.join(sizes, group).select(group, "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, [group, "gram"]).select("id", group, "gram", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+    counts = _counts(texts, group, low, high)
+    known = idf(texts, group, min_df, low, high) if fitted is None else fitted
+    raw = counts.join(known, [group, "gram"]).select("id", group, "gram", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
     norms = raw.groupBy("id", group).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norms, ["id", group]).select("id", group, "gram", (F.col("raw") / F.col("norm")).alias("w"))
 
@@ -43,31 +57,37 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm == 0, x).otherwise(x / norm))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def random_projection(weights: DataFrame, dim: int = 256, seed: int = 0) -> DataFrame:
+def random_projection(weights: DataFrame, dim: int = 256, seed: int = 0, remembered: int = 100_000) -> DataFrame:
     """(id, grp, gram, w) -> (id, grp, vector): a Gaussian projection that needs no vocabulary.
 
     Each gram's row of the projection is drawn from its own hash, so that any
-    worker makes the same one; sums are taken as arrays by the JVM.
+    worker makes the same one; a worker remembers so many rows. The weights are
+    dealt out once, by id.
     """
-    grams = weights.select("gram").distinct()
 
-    @F.pandas_udf("array<float>")
-    def row(gram: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        draw = lambda g: np.random.default_rng(xxhash.xxh64_intdigest(g, seed)).standard_normal(dim)
-        return gram.map(lambda g: (draw(g) / np.sqrt(dim)).astype(np.float32))
-
-    placed = weights.join(grams.withColumn("r", row("gram")), "gram")
-    parts = placed.select("id", "grp", F.posexplode(F.transform("r", lambda x: x * F.col("w"))).alias("i", "x"))
-    sums = parts.groupBy("id", "grp", "i").agg(F.sum("x").alias("x")).groupBy("id", "grp").agg(
-        F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")
-    )
-    return sums.select("id", "grp", unit(F.transform("v", lambda s: s["x"])).alias("vector"))
+        known: dict[str, np.ndarray] = {}
+
+        def row(gram: str) -> np.ndarray:
+            if (got := known.get(gram)) is None:
+                if len(known) >= remembered:
+                    known.clear()
+                got = known[gram] = np.random.default_rng(xxhash.xxh64_intdigest(gram, seed)).standard_normal(dim) / np.sqrt(dim)
+            return got
+
+        for b in batches:
+            out = []
+            for grams in b.column("grams").to_pylist():
+                v = sum(x["w"] * row(x["gram"]) for x in sorted(grams, key=lambda x: x["gram"]))
+                norm = np.linalg.norm(v)
+                out.append((v / norm if norm else v).astype(np.float32))
+            yield pa.record_batch([b.column("id"), b.column("grp"), pa.array(out, pa.list_(pa.float32()))], ["id", "grp", "vector"])
+
+    by_id = weights.groupBy("id", "grp").agg(F.collect_list(F.struct("gram", "w")).alias("grams"))
+    kinds = dict(weights.dtypes)
+    return by_id.mapInArrow(run, f"id {kinds['id']}, grp {kinds['grp']}, vector array<float>")
 
 
 def truncated_svd(weights: DataFrame, dim: int = 64, buckets: int = 2048) -> DataFrame:

@@ -11,14 +11,14 @@ from ..operators import validate as rules
 from ..operators.model import Trees
 from ..sources import tables
 from .config import LinkConfig
-from .linker import Linker, prepare
+from .linker import Linker, prepare, save
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
     cfg = LinkConfig(
         scale=args.k_scale, keep=args.keep, keep_second=args.keep_second, share=args.frac, touch_rank=args.touch_rank,
         countries=tuple(c for c in args.train_countries.split(",") if c), folds_second=args.folds,
-        trees=Trees(rounds=args.rounds), seed=args.seed,
+        trees=Trees(rounds=args.rounds), seed=args.seed, encoder=args.encoder, dim=args.dim, scorers=args.backend, cache=args.cache,
     )
 
     def load(split: str):
@@ -31,6 +31,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     links, _ = tables.read_links(spark, f"{args.data}/train/train_ground_truth.tsv")
     linker = Linker(cfg)
     fitted = linker.fit(s1, s23, links)
+    save(fitted, f"{args.out}/model")
     print(tables.summary_text(fitted.report))
     if args.holdout and (table := linker.hold_out(fitted, s1, links)) is not None:
         table.show(truncate=False)
@@ -44,16 +45,24 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def check(spark: SparkSession, args: argparse.Namespace) -> int:
     required = tables.read_ids(spark, f"{args.test_dir}/test_source1.tsv")
-    valid = None
+    valid, extra = None, []
     if args.check_ids or args.strict:
-        both = [tables.read_ids(spark, f"{args.test_dir}/test_source{n}.tsv", "id2") for n in (2, 3)]
-        valid = both[0].union(both[1])
-    files = [tables.read_lines(spark, p) if p else None for p in (args.matching, args.candidate)]
+        paths = [f"{args.test_dir}/test_source{n}.tsv" for n in (2, 3)]
+        extra = [f"{p} not found: whether ids exist can't be checked" for p in paths if not tables.exists(spark, p)]
+        if not extra:
+            both = [tables.read_ids(spark, p, "id2") for p in paths]
+            valid = both[0].union(both[1])
+    files, broken = [], []
+    for p in (args.matching, args.candidate):
+        there = p and tables.exists(spark, p)
+        if there and (n := tables.count_not_utf8(spark, p)):
+            broken.append(f"{p}: {n} lines are not UTF-8 text")
+        files.append(tables.read_lines(spark, p) if there else None)
     errors, warnings = rules.validate(*files, required, valid, args.strict)
-    for name, found in (("ERROR", errors), ("WARNING", warnings)):
+    for name, found in (("ERROR", broken + errors), ("WARNING", extra + warnings)):
         for x in found:
             print(f"{name}: {x}")
-    return int(bool(errors))
+    return int(bool(broken + errors))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -72,7 +81,10 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--keep-second", type=int, default=3)
     r.add_argument("--touch-rank", type=int, default=3)
     r.add_argument("--folds", type=int, default=4)
-    r.add_argument("--rounds", type=int, default=20)
+    r.add_argument("--rounds", type=int, default=Trees().rounds)
+    r.add_argument("--encoder", default="exact", help="exact, rp, svd or st:<model>")
+    r.add_argument("--dim", type=int, default=256)
+    r.add_argument("--backend", choices=("plain", "gated"), default="plain", help="string kernels")
     r.add_argument("--seed", type=int, default=0)
     v = commands.add_parser("validate", help="check result files")
     v.add_argument("--matching", required=True)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import blocking, decode, evaluate, features, knn, model, sampling
 from ..operators.windows import top_rows
+from ..sources import tables
 from ..sources.scratch import written
 from ..sources.tables import with_columns
 from .config import LinkConfig
@@ -61,13 +62,27 @@ class Linker:
     def candidates(self, s1: DataFrame, s23: DataFrame) -> DataFrame:
         """Pairs with the first model's features."""
         cfg = self.config
-        blocked = blocking.block(s1, s23, scale=cfg.scale, keep=cfg.keep)
-        return written(features.cheap_features(blocked, s1, s23), "cheap")
+        return written(features.cheap_features(self.blocked(s1, s23), s1, s23), "cheap")
+
+    def blocked(self, s1: DataFrame, s23: DataFrame) -> blocking.Blocking:
+        """Candidates and statistics, from the cache if these records were blocked with these settings before."""
+        cfg = self.config
+        if not cfg.cache:
+            return blocking.block(s1, s23, scale=cfg.scale, keep=cfg.keep, encoder=cfg.encoder, dim=cfg.dim)
+        # Names the contents, in any order: sums of hashes of all rows.
+        sums = [r.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*PREPARED)), F.sum(F.xxhash64(*PREPARED) % 1_000_003)).first() for r in (s1, s23)]
+        at = f"{cfg.cache}/blocking_{cfg.key(*map(str, sums))}"
+        spark, names = s1.sparkSession, ("pairs", "s1_stats", "s23_stats")
+        if not all(tables.exists(spark, f"{at}/{n}/_SUCCESS") for n in names):
+            made = blocking.block(s1, s23, scale=cfg.scale, keep=cfg.keep, encoder=cfg.encoder, dim=cfg.dim)
+            for n in names:
+                getattr(made, n).write.mode("overwrite").parquet(f"{at}/{n}")
+        return blocking.Blocking(*(spark.read.parquet(f"{at}/{n}") for n in names))
 
     def second_features(self, pairs: DataFrame, s1: DataFrame, s23: DataFrame) -> DataFrame:
         """The best few of each noisy record by p1, with stacked and string features."""
         best = written(top_rows(pairs, "p1", "id2", "id1", self.config.keep_second), "best")
-        return features.string_features(features.stack_features(best), s1, s23)
+        return features.string_features(features.stack_features(best), s1, s23, self.config.scorers)
 
     def fit(self, s1: DataFrame, s23: DataFrame, links: DataFrame) -> Fitted:
         """Models from prepared records and links (id1, id2).
@@ -105,8 +120,8 @@ class Linker:
         }
         return Fitted(first, model.fit(second_rows, second_columns, cfg.trees), threshold, margin, report, cfg, final)
 
-    def hold_out(self, fitted: Fitted, s1: DataFrame, links: DataFrame) -> DataFrame:
-        """(country_n, f): each country scored by a second model trained on all others."""
+    def hold_out(self, fitted: Fitted, s1: DataFrame, links: DataFrame) -> DataFrame | None:
+        """(country_n, t, f): each country scored by a second model trained on all others, at its best threshold of HELD_OUT."""
         rows = fitted.out_of_fold.drop("p")
         ids = s1.select(F.col("entity_id").alias("id1"), "country_n")
         out = None
@@ -114,8 +129,10 @@ class Linker:
         for c in labels if len(labels) > 1 else []:
             m = model.fit(rows.where(F.col("country_n") != c), fitted.second.columns, fitted.config.trees)
             scored = m.score(rows.where(F.col("country_n") == c))
-            got = evaluate.entity_scores(ids.where(F.col("country_n") == c), decode.decode(scored, fitted.threshold, fitted.margin), links)
-            part = got.agg(F.avg("f").alias("f")).select(F.lit(c).alias("country_n"), "f")
+            mine = ids.where(F.col("country_n") == c)
+            own = links.join(mine.select("id1"), "id1", "left_semi")
+            grid = evaluate.threshold_grid(scored, own, mine, evaluate.HELD_OUT, (0.0,))
+            part = grid.orderBy(F.round("f", 12).desc(), "t").limit(1).select(F.lit(c).alias("country_n"), "t", "f")
             out = part if out is None else out.unionByName(part)
         return out
 
@@ -133,12 +150,13 @@ class Linker:
 
 
 def save(fitted: Fitted, folder: str) -> None:
-    """Both models with Spark ML's writers, the rest as one row of JSON."""
+    """Both models with Spark ML's writers, the out-of-fold rows as Parquet, the report and the rest as JSON."""
+    if fitted.out_of_fold is not None:
+        fitted.out_of_fold.write.mode("overwrite").parquet(f"{folder}/out_of_fold")
+    tables.write_text(SparkSession.active(), tables.summary_text({**fitted.report, "config": asdict(fitted.config)}), f"{folder}/summary.json")
     for name, m in (("first", fitted.first), ("second", fitted.second)):
         if m.fitted is not None:
             m.fitted.write().overwrite().save(f"{folder}/{name}")
-    from pyspark.sql import SparkSession
-
     s = SparkSession.active()
     row = {
         "threshold": float(fitted.threshold), "margin": float(fitted.margin), "first": fitted.first.columns,
@@ -151,7 +169,6 @@ def save(fitted: Fitted, folder: str) -> None:
 
 def load(folder: str, config: LinkConfig = LinkConfig()) -> Fitted:
     from pyspark.ml.classification import GBTClassificationModel
-    from pyspark.sql import SparkSession
 
     row = SparkSession.active().read.json(f"{folder}/settings").first()
     models = [

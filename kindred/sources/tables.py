@@ -52,11 +52,16 @@ def read_ids(spark: SparkSession, path: str, column: str = "id1", strip: bool =
 
 
 def read_lines(spark: SparkSession, path: str) -> tuple[str | None, DataFrame]:
-    """(header, the other lines as `value`)."""
+    """(header, the other lines as `value`); each part of a folder may have the header."""
     lines = spark.read.text(path)
     head = lines.first()
-    numbered = lines.withColumn("_n", F.monotonically_increasing_id())
-    return (head[0] if head else None), numbered.where("_n > 0").drop("_n")
+    return (head[0] if head else None), (lines.where(F.col("value") != head[0]) if head else lines)
+
+
+def count_not_utf8(spark: SparkSession, path: str) -> int:
+    """Lines with bytes that aren't UTF-8. The text reader keeps a line's bytes as they are."""
+    raw = spark.read.text(path).select(F.encode("value", "UTF-8").alias("b"), F.col("value").cast("binary").alias("raw"))
+    return raw.where(F.try_validate_utf8(F.col("raw").cast("string")).isNull() & F.col("raw").isNotNull()).count()
 
 
 def result_rows(s1: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
@@ -67,26 +72,72 @@ def result_rows(s1: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     return joined.fillna("", [name]).select("source1_entity_id", name, "ordinal")
 
 
+_TSV = dict(sep="\t", quote="", escape="", emptyValue="", nullValue="")
+
+
+def write_tsv(df: DataFrame, path: str) -> None:
+    """A folder of tab-separated parts, each with the header, as `read_tsv` takes them."""
+    df.write.options(header=True, **_TSV).mode("overwrite").csv(path)
+
+
+def write_file(df: DataFrame, path: str) -> None:
+    """One tab-separated file with one header, rows in df's order.
+
+    The parts are written by all tasks, then copied one after the other into
+    the file as streams: no task and no driver holds the rows.
+    """
+    spark, parts = df.sparkSession, f"{path}.parts"
+    df.write.options(header=False, **_TSV).mode("overwrite").csv(parts)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, folder = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, parts))
+    fs = at.getFileSystem(conf)
+    fs.delete(at, True)
+    out = fs.create(at, True)
+    out.write(bytearray(("\t".join(df.columns) + "\n").encode()))
+    names = sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    for name in names:
+        part = fs.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+        part.close()
+    out.close()
+    fs.delete(folder, True)
+
+
 def write_results(s1: DataFrame, candidates: DataFrame, matches: DataFrame, folder: str) -> None:
-    """Both result tables as tab-separated text in s1's order, a folder each; matches must be candidates."""
+    """Both result tables as tab-separated files, a row for each of s1 in its order; matches must be candidates."""
     stray = matches.join(candidates.select("id1", "id2"), ["id1", "id2"], "left_anti")
     if not stray.isEmpty():
         raise ValueError("there are matches outside the candidates")
     for file, pairs, name in (("matching_results", matches, "matched_entity_ids"), ("candidate_pairs", candidates, "candidate_entity_ids")):
-        rows = result_rows(s1, pairs, name).orderBy("ordinal").drop("ordinal")
-        options = dict(sep="\t", header=True, quote="", escape="", emptyValue="", nullValue="")
-        rows.write.options(**options).mode("overwrite").csv(f"{folder}/{file}.tsv")
+        write_file(result_rows(s1, pairs, name).orderBy("ordinal").drop("ordinal"), f"{folder}/{file}.tsv")
 
 
 def write_probabilities(scored: DataFrame, path: str) -> None:
     scored.write.options(sep="\t", header=True, compression="gzip").mode("overwrite").csv(path)
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _at(spark, path)
+    return fs.exists(at)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file."""
+    at, fs = _at(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def cached(df: DataFrame, path: str) -> DataFrame:
     """df as Parquet at path, written unless it is there; choose the path by all that df depends on."""
     spark = df.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, f"{path}/_SUCCESS"):
         df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

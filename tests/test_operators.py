@@ -219,7 +219,7 @@ def test_models(spark):
     x = rng.random((300, 2))
     rows = [(i % 40, i, float(a), float(b), int(a > 0.5)) for i, (a, b) in enumerate(x)]
     df = frame(spark, rows, "id1 long, id2 long, a double, b double, y int")
-    trees = model.Trees(rounds=3, depth=2)
+    trees = model.Trees(rounds=3, depth=2, step=0.1, least_leaf=5)
     fitted = model.fit(df, ["a", "b"], trees)
     scored = fitted.score(df).collect()
     assert np.mean([(r.p > 0.5) == (r.y == 1) for r in scored]) > 0.95
@@ -229,13 +229,14 @@ def test_models(spark):
 
 
 def test_chain(spark, tmp_path):
-    cfg = LinkConfig(folds_first=2, folds_second=2, trees=model.Trees(rounds=2, depth=3))
+    cfg = LinkConfig(folds_first=2, folds_second=2, trees=model.Trees(rounds=2, depth=3, step=0.1, least_leaf=5), cache=f"{tmp_path}/cache")
     s1, s23, links = synth.generate(spark, 60)
     p1, p23 = linker.prepare(s1), linker.prepare(s23)
     chain = linker.Linker(cfg)
     fitted = chain.fit(p1, p23, links)
     assert fitted.report["all"] > 0.6 and fitted.report["ceiling"] > 0.9
     linker.save(fitted, f"{tmp_path}/model")
+    assert spark.read.parquet(f"{tmp_path}/model/out_of_fold").count() == fitted.out_of_fold.count()
     again = linker.load(f"{tmp_path}/model", cfg)
     candidates, matches = chain.transform(again, p1, p23)
     assert matches.join(candidates, ["id1", "id2"], "left_anti").count() == 0
@@ -243,15 +244,82 @@ def test_chain(spark, tmp_path):
     assert cfg.key("a") != LinkConfig().key("a")
 
 
+def test_dense_blocking_finds_most_of_the_exact_candidates(spark):
+    s1, s23, links = synth.generate(spark, 120)
+    p1, p23 = linker.prepare(s1), linker.prepare(s23)
+    exact, near = (blocking.block(p1, p23, encoder=e).pairs.select("id1", "id2") for e in ("exact", "rp"))
+    assert exact.join(near, ["id1", "id2"]).count() >= 0.95 * exact.count()
+    sims = blocking.block(p1, p23, encoder="rp").pairs
+    both = sims.join(blocking.block(p1, p23).pairs.select("id1", "id2", F.col("s_nm").alias("s")), ["id1", "id2"])
+    assert both.where("abs(s - s_nm) > 1e-6").count() == 0
+
+
+def test_results_are_one_file_in_order(spark, tmp_path):
+    n = 2000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        s1 = spark.range(n).select(F.concat(F.lit("S1-"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("entity_id"), (n - F.col("id")).alias("ordinal"))
+        pairs = s1.where("ordinal % 3 = 0").select(F.col("entity_id").alias("id1"), F.lit("S2-1").alias("id2"))
+        tables.write_results(s1, pairs, pairs, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    lines = open(f"{tmp_path}/matching_results.tsv").read().split("\n")
+    assert lines[0] == "source1_entity_id\tmatched_entity_ids" and lines[-1] == "" and len(lines) == n + 2
+    assert [x.split("\t")[0] for x in lines[1:-1]] == [f"S1-{n - i - 1:05d}" for i in range(n)]
+    head, rows = tables.read_lines(spark, f"{tmp_path}/matching_results.tsv")
+    assert head == lines[0] and rows.count() == n
+    assert tables.count_not_utf8(spark, f"{tmp_path}/matching_results.tsv") == 0
+    (tmp_path / "bad.tsv").write_bytes(b"a\tb\nS1-1\t\xff\xfe\n")
+    assert tables.count_not_utf8(spark, f"{tmp_path}/bad.tsv") == 1
+
+
+def test_second_kernels():
+    from kindred.functions import similarity as S
+
+    assert S.indel_ratio("", "") == 1 and S.indel_ratio("a", "") == 0
+    assert S.indel_ratio("abcd", "bcde") == 0.75 == S.indel_ratio("bcde", "abcd")
+    gated = S.scorers("gated")
+    assert gated["token_set"]("a b", "a b c") == 1 and gated["token_sort"]("b a", "a b") == 1
+    assert gated["jaro_winkler"]("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
+    with pytest.raises(ValueError):
+        S.scorers("other")
+
+
+def test_pair_histograms(spark):
+    records = frame(spark, [(f"S{1 + i % 2}-{i // 2}", f"name{i // 2} works") for i in range(400)], "entity_id string, name_core string")
+    links = frame(spark, [(f"S1-{i}", f"S2-{i}") for i in range(200)], "id1 string, id2 string")
+    got = {(r.kind, r.bin): r.n for r in diagnostics.pair_histograms(links, records).collect()}
+    assert got[("true", 19)] == 200 and got.get(("random", 19), 0) < 100
+
+
+def test_no_silent_folder_on_a_cluster(spark, monkeypatch):
+    from kindred.sources import scratch
+
+    class Context:
+        applicationId, master = "app", "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})()
+
+    with pytest.raises(ValueError):
+        scratch.folder(Session())
+
+
 def test_stream(spark, tmp_path):
+    """A record's match doesn't depend on what arrives with it, and no scratch tables pile up."""
+    from kindred.sources import scratch
     from kindred.streaming import incremental
 
     s1, s23, _ = synth.generate(spark, 30)
-    s23.repartition(2).write.parquet(f"{tmp_path}/in")
-    p1 = linker.prepare(s1)
-    stream = incremental.record_stream(spark, f"{tmp_path}/in", s23.schema.simpleString()[7:-1].replace(":", " "), per_batch=100)
-    q = incremental.link_stream(stream, p1, f"{tmp_path}/out", f"{tmp_path}/check")
-    q.awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out")
-    assert got.select("id1", "id2").exceptAll(linker.quick_match(p1, linker.prepare(s23)).select("id1", "id2")).count() == 0
-    assert got.count() > 0
+    s23.repartition(3).write.parquet(f"{tmp_path}/in")
+    p1, schema = linker.prepare(s1), s23.schema.simpleString()[7:-1].replace(":", " ")
+    found, left = [], []
+    for per_batch in (1, 100):
+        marks = scratch.since()
+        stream = incremental.record_stream(spark, f"{tmp_path}/in", schema, per_batch=per_batch)
+        incremental.link_stream(stream, p1, f"{tmp_path}/out{per_batch}", f"{tmp_path}/check{per_batch}").awaitTermination()
+        got = spark.read.parquet(f"{tmp_path}/out{per_batch}").select("id1", "id2", F.round("p", 6).alias("p"))
+        found.append(sorted(map(tuple, got.collect())))
+        left.append(len(scratch.since() - marks))
+    assert found[0] == found[1] and len(found[0]) > 0 and left == [2, 2]
