@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 
 import numpy as np
@@ -6,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kindred.llm import pii
-from kindred.llm.tagger import Tagger
+from kindred.llm.tagger import Scheme, Tagger
 
 from .helpers import TEXTS, awkward, empty, same_columns
 
@@ -40,9 +42,19 @@ def test_long_runs_stay_linear():
         pii.base_spans(text)
 
 
+def small_scheme(kinds):
+    """Outside, and a first and an inner tag for each kind; anything goes with anything else."""
+    n = 2 * kinds + 1
+    follow = np.ones((n, n), bool)
+    for t in range(2, n, 2):
+        follow[:, t] = np.isin(range(n), (t, t - 1))
+    first = np.array([t < 1 or t % 2 == 1 for t in range(n)])
+    return Scheme(np.ones((99, n), bool), follow, follow, np.zeros(99, bool), first, np.ones(n, bool))
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
-    t = Tagger(2, width=4, hidden=5, seed=1)
+    t = Tagger(small_scheme(2), width=4, hidden=5, seed=1)
     x, y = rng.integers(0, 99, (6, 3)), np.zeros((6, 3), int)
     y[1:4, 0] = [1, 2, 2]
     _, g = t.gradients(x, y)
@@ -60,37 +72,97 @@ def test_gradients():
 
 
 def test_viterbi_is_the_best_path():
-    import itertools
-
-    t = Tagger(1, width=3, hidden=4, seed=2)
+    t = Tagger(small_scheme(1), width=3, hidden=4, seed=2)
     t.w["move"] = np.random.default_rng(1).standard_normal((3, 3)).astype(np.float32)
-    x = np.random.default_rng(2).integers(0, 99, (1, 5))
-    emit, move = t._run(x.T)[:, 0], t.w["move"] + t._barred()
-    score = lambda p: sum(emit[i, k] for i, k in enumerate(p)) + t.w["first"][p[0]] + sum(move[a, b] for a, b in zip(p, p[1:]))
-    best = max((p for p in itertools.product(range(3), repeat=5) if p[0] != 2), key=score)
-    assert tuple(t.decode(x)[0]) == best
-
-
-def test_held_out_accuracy():
-    tagger = pii.trained()
-    x, y = pii.labelled_windows(300, 64, 4242)
-    got = tagger.decode(x)
-    assert (got == y).mean() > 0.97
-    assert ((got > 0) == (y > 0))[y > 0].mean() > 0.9 and (got[y == 0] > 0).mean() < 0.02
-
-
-def test_spans_are_reconciled_and_plausible():
+    x = np.random.default_rng(2).integers(0, 99, (5, 1))
+    emit, move = t.emissions(x), t.w["move"]
+    good = [p for p in itertools.product(range(3), repeat=5) if p[0] != 2 and all(t.scheme.follow[a, b] for a, b in zip(p, p[1:]))]
+    score = lambda p: sum(emit[i, 0, k] for i, k in enumerate(p)) + sum(move[a, b] for a, b in zip(p, p[1:]))
+    assert tuple(t.best_path(emit, x)[:, 0]) == max(good, key=score)
+
+
+def whole_path(text, tagger, cfg=pii.Pii()):
+    """The tags of a text when all its characters are scored and decoded, in one piece."""
+    coded = [pii.symbols(text)]
+    scores = pii._scores(coded, [(0, 0, len(text))], tagger, cfg)
+    return pii._paths(coded, [(0, 0, len(text))], scores, tagger, cfg)[0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("aZ_10 .@+-()[]/\n!é²", min_size=1, max_size=90))
+def test_what_is_skipped_can_have_no_span(text):
+    """Outside the runs the best path of the whole text is outside, whatever the weights."""
+    t = Tagger(pii.scheme(), seed=5)
+    t.w["bias"][1:] += 3  # weights that want spans everywhere
+    path = whole_path(text, t)
+    skipped = np.ones(len(text), bool)
+    for a, b in pii.runs(text):
+        skipped[a:b] = False
+    assert not path[skipped].any()
+
+
+def test_labels_obey_the_scheme():
+    s = pii.scheme()
+    x, y = pii.labelled_windows(500, 64, 3)
+    joined = s.word[x][:, 1:] & s.word[x][:, :-1]
+    assert s.can[x, y].all()
+    assert np.where(joined, s.inside[y[:, :-1], y[:, 1:]], s.follow[y[:, :-1], y[:, 1:]]).all()
+
+
+# Held out: other words, names, forms and decoys than those that the training texts are made of.
+ENGLISH = "please send the form to our office before noon and ask whether it has been read by anyone else in the meantime".split()
+PERSONAL = (
+    (0, "maria.lopez @ hospital-sur.es"), (0, "j_smith[@]cam.ac.uk"), (0, "support (@) widgets.io"), (0, "o.neill@ trinity.ie"),
+    (0, "anna-lena @uni-koeln.de"), (0, "x9 @ y8.org"), (1, "10 . 0 . 12 . 7"), (1, "192[.]168[.]4[.]31"), (1, "8(.)8(.)4(.)4"),
+    (2, "4012 8888 8888 1882"), (2, "5555.5555.5555.4445"), (2, "378282246310006"), (2, "6011/1111/1111/1118"), (2, "4222222222222221"),
+    (3, "(020) 794-6018"), (3, "555-013-4477"), (3, "030 901 8200"), (3, "212.736.5000"), (3, "001 415 555 2671"),
+)
+HARMLESS = (
+    "in 1987", "chapter 12", "at 14:35", "for $ 19.95", "version 3.11.2", "on 2021-07-30", "7 of 9", "page 301-322", "room B204", "ISO 9001",
+    "@everyone", "@home tonight", "3 @ 4", "build 20240131", "1,250,000 people", "SHA 9f86d081884c7d65", "section 4(b)", "about 50%", "item no. 77", "1998-2004",
+)
+
+
+def _in_prose(rng, piece):
+    words = lambda: " ".join(rng.choices(ENGLISH, k=rng.randrange(3, 30)))
+    before = words().capitalize() + rng.choice([" ", ". ", ": "])
+    return before + piece + rng.choice([" ", ", ", ". "]) + words() + ".", len(before)
+
+
+def test_held_out_texts():
+    rng, tagger = random.Random(8), pii.trained()
+    hits = near = 0
+    for kind, piece in PERSONAL * 10:
+        text, at = _in_prose(rng, piece)
+        spans = pii.all_spans([text], tagger)[0][1]
+        hits += (kind, at, at + len(piece)) in spans
+        near += any(a < at + len(piece) and b > at for _, a, b in spans)
+    clean = [_in_prose(rng, piece)[0] for piece in HARMLESS * 10]
+    wrong = sum(bool(s) for _, s in pii.all_spans(clean, tagger))
+    print("held out: exact", hits / 190, "touched", near / 190, "of clean texts marked", wrong / 200)
+    assert hits >= 0.7 * 190 and near >= 0.85 * 190 and wrong <= 0.1 * 200
+
+
+def test_spans_are_reconciled():
     tagger = pii.trained()
     pad = "prose goes on here and there " * 9
     for text in [pad + "ip 10[.]2[.]33[.]4 " + pad, pad * 3 + "write to a.b@mail.example.com now " + pad]:
         base, spans = pii.all_spans([text], tagger)[0]
         assert base == brute(text) and set(base) <= set(spans) and len(spans) == 1
-        k, a, b = spans[0]
-        assert pii.plausible(k, text[a:b])
-    clean = [pad, "", None, pad + "version 2.0, id 4613146268427901 and 1234 " + pad]
+    clean = [pad, "", None, pad + "version 2.0 of 1234 " + pad]
     assert [s for _, s in pii.all_spans(clean, tagger)] == [[], [], [], []]
 
 
+def test_runs_don_t_depend_on_each_other():
+    tagger = pii.trained()
+    parts = [f"write to jane.doe{i} @ mail{i}.example.com or call {200 + i} 555 0{i}77 of them. " for i in range(9)]
+    alone = [pii.all_spans([p], tagger)[0][1] for p in parts]
+    together = pii.all_spans(["".join(parts)], tagger)[0][1]
+    starts = np.cumsum([0] + [len(p) for p in parts])
+    assert sum(map(len, alone)) == len(together) >= 15
+    assert {s[0] for s in together} == {0, 3} and starts[-1] > together[-1][2]
+
+
 def test_query_and_redaction(spark):
     docs = awkward(spark)
     rows = pii.find(docs.select("doc_id", "text")).collect()
