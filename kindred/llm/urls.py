@@ -1,19 +1,27 @@
 """URL filters: host and path rules first, then a path-template tree learnt from what they say.
 
 Each host's paths form a tree of segments. Segments that vary (numbers, long
-hexadecimal or slug-like strings) become a wildcard; children of one node whose
-labelled shares don't differ statistically are merged into a wildcard too, alike
-at every number of children. A template is rejected if its
-smoothed share of blocked labels is high. The labels are the rules' own
-verdicts: a page no rule fits is judged by its template's labelled pages, and
-is allowed where there are none.
-
-Pages are reduced to different templates before anything is grouped, so a host
-with a third of all pages weighs as much as its number of templates.
+hexadecimal or slug-like strings) become a wildcard. From the root down, the
+branches of a node that are statistically alike are merged into one: branches
+with the same usual continuation (what most of their pages go on with), unless
+their labels disagree. A branch leans to "block" or "allow" if the Wilson
+interval of its blocked share lies on one side of a half; where both leanings
+occur among branches of one form, each leaning is merged for itself, and so are
+those without one. The next level is judged on the merged nodes.
+
+The labels are the rules' own verdicts. A template is rejected if its purity,
+the smoothed share of blocked labels, is high; each page without a label weighs
+a little against either verdict. So a page that no rule fits is blocked where
+most pages of its template are blocked by rules, and a few blocked pages can't
+speak for many others.
+
+Pages are reduced to different paths before anything is grouped, so a host with
+a third of all pages weighs as much as its number of different paths.
 
 Defined results: a null url, or one without "://", has an empty host and path;
 no rule fits it and its template is that of the empty host; repeated rows are
-judged alike and count each as a label.
+judged alike and count each as a label; of equally usual continuations the
+greater counts; segments beyond `depth` are kept together as one.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, forget, materialize, table
 
 #: (verdict, host, path), a fixed list.
 RULES = (
@@ -39,11 +47,13 @@ _VARIABLE = r"[0-9]|^[0-9a-fA-F]{12,}$|^.{40,}$|(-[^-]*){4,}"
 @dataclass(frozen=True)
 class Templates:
     rules: tuple[tuple[str, str, str], ...] = RULES
-    #: Labels a branch and its siblings need before their shares are compared.
-    least_labels: int = 20
-    #: Shares that differ by fewer standard errors are similar.
+    #: Levels of the tree.
+    depth: int = 8
+    #: Half the width of the Wilson interval, in standard errors.
     errors: float = 1.96
+    #: Neutral labels that every template has, and that each page without a label adds.
     smoothing: float = 2.0
+    unlabelled: float = 0.1
     reject_at: float = 0.8
 
 
@@ -69,50 +79,62 @@ def _lexical(path: Column) -> Column:
     return F.transform(F.split(path, "/"), lambda s: F.when(s.rlike(_VARIABLE), F.lit("*")).otherwise(s))
 
 
-def _similar(a: tuple[Column, Column], b: tuple[Column, Column], cfg: Templates) -> Column:
-    """Whether the shares a and b, as (blocked, labelled), pass a two-proportion test as equal."""
-    share = (a[0] + b[0]) / F.greatest(a[1] + b[1], F.lit(1))
-    error = F.sqrt(share * (1 - share) * (1 / F.greatest(a[1], F.lit(1)) + 1 / F.greatest(b[1], F.lit(1))))
-    gap = F.abs(a[0] / F.greatest(a[1], F.lit(1)) - b[0] / F.greatest(b[1], F.lit(1)))
-    return (a[1] >= cfg.least_labels) & (b[1] >= cfg.least_labels) & (gap <= cfg.errors * error + 1e-9)
+def _leaning(blocked: Column, labelled: Column, cfg: Templates) -> Column:
+    """1 for block, -1 for allow, 0 if the Wilson interval of the share holds a half, or there are no labels."""
+    n, z = labelled.cast("double"), F.lit(cfg.errors)
+    share = blocked / n
+    middle, half = share + z * z / (2 * n), z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    scale = 1 + z * z / n
+    return F.when(labelled == 0, 0).when((middle - half) / scale > 0.5, 1).when((middle + half) / scale < 0.5, -1).otherwise(0)
+
+
+_SUMS = ("n", "labelled", "blocked")
+
+
+def _merged(rows: DataFrame, level: int, cfg: Templates) -> DataFrame:
+    """rows (host, lexical, segments, n, labelled, blocked, template) with the template one level longer."""
+    at = F.get("segments", F.lit(level))
+    going = rows.where(F.size("segments") > level).withColumn("segment", at)
+    node = ["host", "template"]
+    ways = going.groupBy(*node, "segment", F.coalesce(F.get("segments", F.lit(level + 1)), F.lit("<end>")).alias("next"))
+    ways = ways.agg(*[F.sum(c).alias(c) for c in _SUMS])
+    branches = ways.groupBy(*node, "segment").agg(*[F.sum(c).alias(c) for c in _SUMS], F.max(F.struct("n", "next")).alias("usual"))
+    # A wildcard is merged already.
+    form = F.when(F.col("segment") == "*", "<wild>").when(F.col("usual.n") * 2 > F.col("n"), F.col("usual.next")).otherwise("<many>")
+    branches = branches.select(*node, "segment", form.alias("form"), _leaning(F.col("blocked"), F.col("labelled"), cfg).alias("leaning"))
+    kinds = branches.groupBy(*node, "form").agg(F.min("leaning").alias("low"), F.max("leaning").alias("high"))
+    part = F.when((F.col("low") == -1) & (F.col("high") == 1), F.col("leaning")).otherwise(0)
+    parted = branches.join(kinds, [*node, "form"]).select(*node, "segment", "form", part.alias("part"))
+    groups = parted.groupBy(*node, "form", "part").agg(F.count(F.lit(1)).alias("k"), F.min("segment").alias("least"))
+    name = F.when(F.col("k") > 1, F.concat(F.lit("{"), "least", F.lit("..}"))).otherwise(F.col("segment"))
+    names = parted.join(groups, [*node, "form", "part"]).select(*node, "segment", name.alias("name"))
+    longer = F.when(F.col("name").isNull(), F.col("template")).otherwise(
+        F.col("name") if level == 0 else F.concat("template", F.lit("/"), "name")
+    )
+    joined = rows.withColumn("segment", at).join(names, [*node, "segment"], "left")
+    return joined.select("host", "lexical", "segments", *_SUMS, longer.alias("template"))
 
 
 def template_verdicts(pages: DataFrame, cfg: Templates = Templates()) -> DataFrame:
     """pages (host, lexical, given) -> (host, lexical, template, purity, verdict), a row for each lexical path."""
-    sums = lambda: (F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     paths = pages.groupBy("host", "lexical").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("given").alias("labelled"),
         F.count(F.when(F.col("given") == "block", 1)).alias("blocked"),
     )
-    steps = paths.select("*", F.posexplode("lexical").alias("depth", "segment")).withColumn(
-        "parent", F.array_join(F.slice("lexical", F.lit(1), F.col("depth")), "/")
-    )
-    node = ("host", "depth", "parent")
-    children = steps.groupBy(*node, "segment").agg(*sums())
-    nodes = children.groupBy(*node).agg(
-        F.count(F.lit(1)).alias("_children"),
-        F.sum("labelled").alias("_labelled"),
-        F.sum("blocked").alias("_blocked"),
-    )
-    both = children.join(nodes, list(node)).where("_children > 1 and segment <> '*'")
-    rest = (F.col("_blocked") - F.col("blocked"), F.col("_labelled") - F.col("labelled"))
-    alike = _similar((F.col("blocked"), F.col("labelled")), rest, cfg)
-    merged = both.where(alike).select(*node, "segment", F.lit("*").alias("as"))
-    named = steps.join(merged, [*node, "segment"], "left").select(
-        "host", "lexical", "n", "labelled", "blocked", "depth", F.coalesce("as", "segment").alias("segment")
-    )
-    whole = named.groupBy("host", "lexical").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "segment"))), lambda s: s["segment"]), "/").alias(
-            "template"
-        ),
-        F.first("labelled").alias("labelled"),
-        F.first("blocked").alias("blocked"),
-    )
-    pure = whole.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    pure = pure.withColumn("purity", (F.col("b") + cfg.smoothing / 2) / (F.col("l") + cfg.smoothing)).drop("l", "b")
+    head = F.slice("lexical", F.lit(1), F.lit(cfg.depth - 1))
+    tail = F.array_join(F.slice("lexical", F.lit(cfg.depth), F.greatest(F.size("lexical"), F.lit(1))), "/")
+    segments = F.when(F.size("lexical") > cfg.depth, F.array_append(head, tail)).otherwise(F.col("lexical"))
+    rows = materialize(paths.select("host", "lexical", segments.alias("segments"), *_SUMS, F.lit("").alias("template")), "paths")
+    levels = rows.agg(F.max(F.size("segments"))).first()[0] or 0
+    for level in range(levels):
+        before, rows = rows, materialize(_merged(rows, level, cfg), "paths")
+        forget(before)
+    pure = rows.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    neutral = cfg.smoothing + cfg.unlabelled * (F.col("n") - F.col("labelled"))
+    pure = pure.select("host", "template", ((F.col("blocked") + neutral / 2) / (F.col("labelled") + neutral)).alias("purity"))
     verdict = F.when(F.col("purity") >= cfg.reject_at, F.lit("block")).otherwise(F.lit("allow"))
-    return whole.select("host", "lexical", "template").join(pure, ["host", "template"]).withColumn("verdict", verdict)
+    return rows.select("host", "lexical", "template").join(pure, ["host", "template"]).withColumn("verdict", verdict)
 
 
 def judge_urls(pages: DataFrame, cfg: Templates = Templates()) -> DataFrame:
