@@ -2,74 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
 import time
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 #: A word separator, as every contract of this package defines it.
 SPACE = r"[\x20\x09-\x0D]"
 #: A word.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_OWN_ROOT: dict[str, str] = {}
-_WRITTEN: dict[str, SparkSession] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    It is the session's spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a temporary folder is made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not root:
-        root = _OWN_ROOT.setdefault(app, "file://" + tempfile.mkdtemp(prefix="kindred-"))
-    return f"{root.rstrip('/')}/kindred-{app}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
-
-    This cuts the lineage with files that outlive any executor, and computes
-    df once where later steps read it several times.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing will read again."""
-    _delete(df._scratch)
-
-
-def _delete(path: str) -> None:
-    spark = _WRITTEN.pop(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def drop_written() -> None:
-    """Delete all scratch tables of this process; runs at exit too."""
-    for path in list(_WRITTEN):
-        try:
-            _delete(path)
-        except Exception:  # the JVM may be gone already
-            pass
-
-
-atexit.register(drop_written)
+#: Write df as Parquet to the shared folder and read it back: cuts the lineage with files that outlive any executor.
+materialize = scratch.written
+#: Delete the files of materialized tables.
+forget = scratch.forget
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
@@ -21,7 +21,7 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     spark = edges.sparkSession
     priority = lambda c: F.struct(F.xxhash64(c).alias("p"), c.alias("n"))
     left = materialize(edges.where("a <> b").select("a", "b").distinct(), f"{label}-edges")
-    rooted = None
+    rooted = None  # all tables of a round but the last are deleted once the next one has what it needs
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
         best = both.groupBy("a").agg(F.min(priority(F.col("b"))).alias("m"))
@@ -33,16 +33,16 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         moved = left.join(to, F.col("a") == F.col("_n")).select(F.col("_r").alias("a"), "b")
         moved = moved.join(to, F.col("b") == F.col("_n")).select("a", F.col("_r").alias("b"))
         moved = moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        left = materialize(moved.distinct(), f"{label}-edges")
+        before, left = left, materialize(moved.distinct(), f"{label}-edges")
+        forget(before)
         if rooted is None:
             rooted = points
         else:
-            rooted = materialize(
-                rooted.join(to, F.col("root") == F.col("_n"), "left").select(
-                    "node", F.coalesce("_r", "root").alias("root")
-                ),
-                f"{label}-roots",
-            )
+            up = rooted.join(to, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+            before, rooted = rooted, materialize(up, f"{label}-roots")
+            forget(before)
+            forget(points)
+    forget(left)
     if rooted is None:
-        return spark.createDataFrame([], "node long, root long")
+        rooted = materialize(spark.createDataFrame([], "node long, root long"), f"{label}-roots")
     return rooted

@@ -31,6 +31,8 @@ class Mix:
     epochs: float = 2.0
     #: Rows that one range of keys holds on average.
     rows_per_range: int = 5000
+    #: A table of sources or ranges of at most so many rows (of a few dozen bytes, and the source's name) goes to all tasks.
+    sent_rows: int = 50_000
     seed: int = 7
 
 
@@ -67,24 +69,26 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return found.withColumn("target", target).select("source", "source_size", "n_rows", "target")
 
 
-def cut(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
+def cut(rows: DataFrame, mix: Mix = Mix(), narrow: DataFrame | None = None) -> DataFrame:
     """rows has source, size, _key (0 <= key < 1) and _tie; adds source_size, target, taken.
 
-    All other columns are carried along. `rows` is read three times: give a
-    table, not a long computation.
+    All other columns are carried along, dealt out once. `narrow` has source,
+    size and _key of the same rows, as a table that is cheap to read.
     """
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
+    narrow = rows if narrow is None else narrow
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     aims = targets(sizes, mix).withColumn("_ranges", F.ceil(F.col("n_rows") / mix.rows_per_range))
-    # The table of sources is what a broadcast would grow with: leave that choice, by size, to the planner.
-    ranged = _with_source(rows, aims).withColumn("_range", F.floor(F.col("_key") * F.col("_ranges")))
-    totals = ranged.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
+    aims = _small(materialize(aims, "aims"), mix)
+    ranged = lambda df: _with_source(df, aims).withColumn("_range", F.floor(F.col("_key") * F.col("_ranges")))
+    totals = ranged(narrow.select("source", "size", "_key")).groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         F.col("source").alias("_source"),
         F.col("_range").alias("_r"),
         F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"),
     )
-    joined = ranged.join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
+    offsets = _small(materialize(offsets, "offsets"), mix)
+    joined = ranged(rows).join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
     inside = Window.partitionBy("source", "_range").orderBy("_key", "_tie", "size")
     end = F.col("_offset") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     budget = F.round("target").cast("long")
@@ -95,6 +99,11 @@ def cut(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return out.drop("_end", "_offset", "_source", "_r", "_range", "_ranges", "n_rows")
 
 
+def _small(table: DataFrame, mix: Mix) -> DataFrame:
+    """The table, sent to all tasks if its rows, counted, are few: the large side then stays where it is."""
+    return F.broadcast(table) if table.count() <= mix.sent_rows else table
+
+
 def _with_source(rows: DataFrame, aims: DataFrame) -> DataFrame:
     named = aims.withColumnRenamed("source", "_s")
     return rows.join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -141,7 +150,8 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         _key(doc_id, col("text"), mix).alias("_key"),
         F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("_tie"),
     )
-    mixed = cut(rows, mix).where("taken > 0")
+    narrow = materialize(rows.select("source", "size", "_key"), "sizes")
+    mixed = cut(rows, mix, narrow).where("taken > 0")
     copies = mixed.select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))).alias("_epoch")
     )
