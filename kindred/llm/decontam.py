@@ -1,7 +1,7 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The automaton of all normalised benchmark items is built once for each block of
-items and streamed over every document's words: it keeps the length of the
+The automaton of all normalised benchmark items, one for each block of items, is
+streamed over every document's words: it keeps the length of the
 longest suffix of the words read so far that occurs in an item. Where that
 length reaches the window, the last words are an occurrence; the automaton's
 state tells which items have it.
@@ -9,7 +9,8 @@ state tells which items have it.
 Defined results: null texts have no words; an item without words matches
 nothing; an item with fewer words than the window is one window by itself;
 items of one id count once, items without an id are matched but written as an
-empty string; an empty benchmark leaves every document clean.
+empty string; an empty benchmark leaves every document clean; repeated documents
+are judged alike; a text of any length is scanned whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +36,9 @@ _LOWER = {i: i + 32 for i in range(65, 91)}
 class Decontamination:
     window: int = 10
     #: Characters of items in one automaton; more items make more blocks, each run over all documents.
-    block_chars: int = 4_000_000
+    block_chars: int = 2_000_000
+    #: Bytes of text that go through one block after the other; what building an automaton costs is shared by them.
+    chunk_bytes: int = 32_000_000
     #: A document that loses at least this share of its words is dropped whole by `decontaminate`.
     max_coverage: float = 0.5
 
@@ -144,41 +149,71 @@ class SuffixAutomaton:
         return spans, items
 
 
-def _blocks(items: DataFrame, cfg: Decontamination) -> list[list[tuple[str, str]]]:
-    """The benchmark, in blocks whose size is bounded; each is sent to the tasks by itself."""
-    blocks, room = [], 0
+def _blocks(items: DataFrame, cfg: Decontamination) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark in blocks of bounded size; the driver holds one at a time."""
+    block, room = [], cfg.block_chars
     for row in items.toLocalIterator():
-        if not blocks or room < len(row.text):
-            blocks.append([])
-            room = cfg.block_chars
+        if block and room < len(row.text):
+            yield block
+            block, room = [], cfg.block_chars
         room -= len(row.text)
-        blocks[-1].append((row.item_id or "", row.text))
-    return blocks
+        block.append((row.item_id or "", row.text))
+    if block:
+        yield block
 
 
 class Scanner:
-    """The automata of all blocks; with more than one block, one is held at a time."""
+    """The automata of all blocks. A worker holds one at a time, and goes through a chunk of texts with each."""
 
     def __init__(self, spark: SparkSession, benchmark: DataFrame, cfg: Decontamination):
         items = benchmark.select(col("item_id").cast("string").alias("item_id"), col("text").alias("text"))
         items = items.where("text is not null")
         self.blocks = [spark.sparkContext.broadcast(b) for b in _blocks(items, cfg)]
         self.window = cfg.window
-
-    def _automata(self) -> Iterator[SuffixAutomaton]:
-        for b in self.blocks:
-            if len(self.blocks) > 1 or not hasattr(self, "_only"):
-                self._only = SuffixAutomaton([(i, words_of(t)) for i, t in b.value], self.window)
-            yield self._only
-
-    def __call__(self, texts: list[list[str]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
-        out: list[tuple[list, set]] = [([], set()) for _ in texts]
-        for automaton in self._automata():
-            for k, words in enumerate(texts):
+        self.held: tuple[int, SuffixAutomaton] | None = None
+
+    def _automaton(self, n: int) -> SuffixAutomaton:
+        if self.held is None or self.held[0] != n:
+            self.held, block = None, self.blocks[n]
+            # Read without keeping it: a worker must not gather the whole benchmark.
+            items = block.load_from_path(block._path) if block._path else block.value
+            self.held = n, SuffixAutomaton([(i, words_of(t)) for i, t in items], self.window)
+        return self.held[1]
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+        """For each text its number of words, covered spans of words, and the items that occur."""
+        out: list[tuple[int, list, set]] = [(0, [], set()) for _ in texts]
+        held = [self.held[0]] if self.held else []
+        # The block in hand first, so that with few blocks hardly any is built twice.
+        for n in held + [n for n in range(len(self.blocks)) if n not in held]:
+            automaton = self._automaton(n)
+            for k, text in enumerate(texts):
+                words = words_of(text)
                 spans, items = automaton.scan(words)
-                if spans:
-                    out[k] = (merged(out[k][0] + spans), out[k][1] | items)
-        return out
+                out[k] = (len(words), merged(out[k][1] + spans) if spans else out[k][1], out[k][2] | items)
+        return out if self.blocks else [(len(words_of(t)), [], set()) for t in texts]
+
+    def chunks(self, b: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+        """Slices of a batch with about so many bytes of text."""
+        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+        at, ends = 0, np.cumsum(sizes)
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about so many bytes."""
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += b.nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -196,22 +231,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cfg: Decontamination =
     scan = Scanner(docs.sparkSession, benchmark, cfg)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = [words_of(t.as_py()) for t in part.column("text")]
-                found = scan(texts)
-                names = [sorted(i) for _, i in found]
-                hit = [sum(y - x for x, y in s) for s, _ in found]
+        for b in gathered(batches, cfg.chunk_bytes):
+            for part in scan.chunks(b, cfg.chunk_bytes):
+                found = scan(part.column("text").to_pylist())
+                names = [sorted(i) for _, _, i in found]
+                hit = [sum(y - x for x, y in s) for _, s, _ in found]
                 yield pa.record_batch(
                     [
                         part.column("doc_id"),
-                        pa.array(map(len, texts), pa.int64()),
+                        pa.array([n for n, _, _ in found], pa.int64()),
                         pa.array(hit, pa.int64()),
                         pa.array(map(len, names), pa.int64()),
                         pa.array(hashlib.sha256(",".join(x).encode()).hexdigest() for x in names),
                         pa.array([h > 0 for h in hit]),
-                        pa.array([",".join(f"{x}:{y}" for x, y in s) for s, _ in found], pa.string()),
+                        pa.array([",".join(f"{x}:{y}" for x, y in s) for _, s, _ in found], pa.string()),
                     ],
                     ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
                 )
@@ -239,15 +272,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cfg: Decontamination =
         return "".join(out) + text[at:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+        for b in gathered(batches, cfg.chunk_bytes):
+            for part in scan.chunks(b, cfg.chunk_bytes):
                 texts = part.column("text").to_pylist()
-                words = [words_of(t) for t in texts]
                 keep, new = [], []
-                for t, w, (spans, _) in zip(texts, words, scan(words)):
+                for t, (n, spans, _) in zip(texts, scan(texts)):
                     hit = sum(y - x for x, y in spans)
-                    keep.append(not hit or hit < cfg.max_coverage * len(w))
+                    keep.append(not hit or hit < cfg.max_coverage * n)
                     new.append(cleaned(t, spans) if spans else t)
                 cols = dict(zip(part.schema.names, part.columns))
                 cols["text"] = pa.array(new, part.schema.field("text").type)
