@@ -17,10 +17,11 @@ alike. The steps:
    consecutive ones that advance along the same source coordinates join into
    long spans, which are cut from the document.
 
-Paths and edges are told apart by 128 bits of hashes of their words (minimizer
-and own hash, from unlike functions). Counts and
-minima are pre-aggregated; joins on common passages are sort-merge joins whose
-large side adaptive execution splits.
+Paths and edges are told apart by their minimizer and, among those of one
+minimizer, by a 64-bit hash of their words from another function; words
+themselves aren't compared. Counts and minima are pre-aggregated and written;
+joins on common passages are joins of two tables, whose large side adaptive
+execution splits.
 
 Defined results: null or empty texts have no words; documents shorter than the
 window keep all words; rows of one id never cut each other, since neither id
@@ -112,10 +113,11 @@ def _marked(docs: DataFrame, cfg: Repeats) -> DataFrame:
     """(doc, ms): for each document its minimizers that another document has too."""
     sketch = materialize(_sketch(docs, cfg), "minimizers")
     ends = sketch.groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    shared = ends.where("lo < hi").select(F.col("m").alias("_m"))
+    # Written first: a join with an aggregate can't be split where one key is hot, one with a table can.
+    shared = materialize(ends.where("lo < hi").select(F.col("m").alias("_m")), "shared")
     marks = sketch.join(shared, F.col("m") == F.col("_m")).groupBy("doc").agg(F.collect_set("m").alias("ms"))
     marks = materialize(marks, "marks")
-    forget(sketch)
+    forget(sketch, shared)
     return marks
 
 
@@ -160,23 +162,26 @@ def _compacted(paths: DataFrame) -> DataFrame:
         F.min(F.struct("doc", "at")).alias("src"), F.max("doc").alias("hi"), F.min("p").alias("a"), F.max("p").alias("z")
     )
     graph = graph.where("src.doc < hi").select(F.col("m").alias("_m"), "src", (F.col("a") == F.col("z")).alias("single"))
+    graph = materialize(graph, "graph")
     joined = paths.join(graph, F.col("m") == F.col("_m")).where("not single or doc > src.doc")
     edges = F.when(~F.col("single"), F.col("edges")).alias("edges")
-    return materialize(joined.select("m", "doc", "copy", "at", "n", "src", edges), "compacted")
+    out = materialize(joined.select("m", "doc", "copy", "at", "n", "src", edges), "compacted")
+    forget(graph)
+    return out
 
 
-def _spans(compacted: DataFrame) -> DataFrame:
-    """(doc, copy, at, n, src, src_at): runs of edges that a smaller document has, and where."""
+def _spans(compacted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, copy, at, n, src, src_at): runs of edges that a smaller document has, and where; and a table to delete after use."""
     source = (F.col("src.doc").alias("src"), F.col("src.at").alias("src_at"))
     single = compacted.where("edges is null").select("doc", "copy", "at", "n", *source)
     branching = compacted.where("edges is not null")
     edges = branching.select("m", "doc", "copy", "at", F.posexplode("edges").alias("i", "e"))
     edges = edges.select("m", "e", "doc", "copy", (F.col("at") + F.col("i")).alias("at"))
-    # Equal edges have equal minimizers; with both, edges are told apart by 128 bits.
+    # Equal edges have equal minimizers; of one minimizer, edges are told apart by 64 bits.
     firsts = edges.groupBy("m", "e").agg(F.min(F.struct("doc", "at")).alias("src"), F.max("doc").alias("hi"))
-    firsts = firsts.where("src.doc < hi").select(F.col("m").alias("_m"), F.col("e").alias("_e"), "src")
+    firsts = materialize(firsts.where("src.doc < hi").select(F.col("m").alias("_m"), F.col("e").alias("_e"), "src"), "firsts")
     later = edges.join(firsts, (F.col("m") == F.col("_m")) & (F.col("e") == F.col("_e"))).where("doc > src.doc")
-    return single.unionByName(later.select("doc", "copy", "at", F.lit(1).alias("n"), *source))
+    return single.unionByName(later.select("doc", "copy", "at", F.lit(1).alias("n"), *source)), firsts
 
 
 def repeated_spans(docs: DataFrame, cfg: Repeats = Repeats()) -> DataFrame:
@@ -194,9 +199,10 @@ def repeated_spans(docs: DataFrame, cfg: Repeats = Repeats()) -> DataFrame:
     compacted = _compacted(paths)
     forget(paths)
     release_shuffles(spark)
-    found = _spans(compacted).groupBy("doc", "copy").agg(F.collect_list(F.struct("at", "n", "src", "src_at")).alias("spans"))
+    runs, firsts = _spans(compacted)
+    found = runs.groupBy("doc", "copy").agg(F.collect_list(F.struct("at", "n", "src", "src_at")).alias("spans"))
     spans = materialize(found, "spans")
-    forget(compacted)
+    forget(compacted, firsts)
     release_shuffles(spark)
     return spans
 
