@@ -52,7 +52,12 @@ def _words(text: Column) -> Column:
 
 
 def _window_hashes(words: Column, k: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(words) - F.lit(k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))
+    """A hash of each window's words, of which each is hashed once."""
+
+    def combined(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - F.lit(k)), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), combined)
 
 
 def _covered(words: Column, k: int) -> Column:
