@@ -10,7 +10,8 @@ Labels of rows whose crc32(doc_id as text) mod 5 is 0 are never learnt from.
 
 Defined results: null or empty texts score like a text without features (the
 intercept); a null label isn't learnt from, several label rows of one id count
-as several; with no label of one of the classes all texts score 0.
+as several; repeated document rows are scored alike; a text of any length is
+scored whole; with no label of one of the classes all texts score 0.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import col, id_text, table
@@ -35,6 +36,8 @@ class Toxicity:
     bits: int = 20
     #: Labelled rows of each class that are learnt from, at most: those of least hash.
     rows_per_class: int = 4000
+    #: Bytes of their texts, at most: a text that would go beyond isn't learnt from, nor are those after it.
+    bytes_per_class: int = 32_000_000
     #: Standard errors that a log-count ratio must have to count.
     errors: float = 2.0
     epochs: int = 20
@@ -132,8 +135,12 @@ def train(docs: DataFrame, labels: DataFrame, cfg: Toxicity = Toxicity()) -> Cla
     parts = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(cfg.rows_per_class) for k in (0, 1)]
     # Not more than two classes of rows: a size that doesn't grow with the corpus.
     chosen = F.broadcast(parts[0].union(parts[1]))
-    rows = docs.where("text is not null").join(chosen, "doc_id").select("doc_id", "toxic", "text").toPandas()
-    rows = rows.sort_values(["doc_id", "toxic", "text"])
+    rows = docs.where("text is not null").join(chosen, "doc_id").select("doc_id", "toxic", "text", order.alias("o"), F.xxhash64("text").alias("h"))
+    # One id may have many rows: the bound holds for these too, and for their bytes.
+    parts = [rows.where(F.col("toxic") == k).orderBy("o", "doc_id", "h").limit(cfg.rows_per_class) for k in (0, 1)]
+    sofar = Window.partitionBy("toxic").orderBy("o", "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts[0].union(parts[1]).withColumn("bytes", F.sum(F.octet_length("text")).over(sofar)).where(F.col("bytes") <= cfg.bytes_per_class)
+    rows = rows.select("doc_id", "toxic", "text").toPandas().sort_values(["doc_id", "toxic", "text"])
     return Classifier(rows["text"].tolist(), rows["toxic"].tolist(), cfg)
 
 
