@@ -156,7 +156,100 @@ def test_templates(spark):
     pages = spark.createDataFrame(rows, "host string, path string, given string").withColumn("lexical", urls._lexical(F.col("path")))
     got = {"/".join(r.lexical): r for r in urls.template_verdicts(pages).collect()}
     assert got["/bad/*"].verdict == "block" and got["/good/*"].verdict == "allow" and got["/other"].verdict == "allow"
-    assert got["/bad/*"].purity == pytest.approx(31 / 32)
+    assert got["/bad/*"].purity == pytest.approx((30 + 1.25) / (30 + 2.5))
+
+
+def brute_templates(rows, cfg=urls.Templates()):
+    """(host, lexical path) -> (template, verdict), by walking each host's tree node by node."""
+    counts = {}
+    for host, path, given in rows:
+        c = counts.setdefault((host, path), [0, 0, 0])
+        c[0], c[1], c[2] = c[0] + 1, c[1] + (given is not None), c[2] + (given == "block")
+
+    def leaning(n, b):
+        if not n:
+            return 0
+        z, p = cfg.errors, b / n
+        middle, half, scale = p + z * z / (2 * n), z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5, 1 + z * z / n
+        return 1 if (middle - half) / scale > 0.5 else -1 if (middle + half) / scale < 0.5 else 0
+
+    out = {}
+
+    def walk(items, level, name):
+        branches = {}
+        for path, key, c in items:
+            if len(path) == level:
+                out[key] = name
+            else:
+                branches.setdefault(path[level], []).append((path, key, c))
+        forms = {}
+        for seg, mine in branches.items():
+            ways = {}
+            for path, _, c in mine:
+                nxt = path[level + 1] if len(path) > level + 1 else "<end>"
+                ways[nxt] = ways.get(nxt, 0) + c[0]
+            n = sum(ways.values())
+            usual = max(ways, key=lambda w: (ways[w], w))
+            form = "<wild>" if seg == "*" else usual if 2 * ways[usual] > n else "<many>"
+            forms.setdefault(form, {})[seg] = leaning(sum(c[1] for *_, c in mine), sum(c[2] for *_, c in mine))
+        for members in forms.values():
+            parts = {}
+            mixed = {-1, 1} <= set(members.values())
+            for seg, lean in members.items():
+                parts.setdefault(lean if mixed else 0, []).append(seg)
+            for segs in parts.values():
+                label = segs[0] if len(segs) == 1 else "{" + min(segs) + "..}"
+                walk([x for g in segs for x in branches[g]], level + 1, label if level == 0 else f"{name}/{label}")
+
+    by_host = {}
+    for (host, path), c in counts.items():
+        by_host.setdefault(host, []).append((path, (host, path), c))
+    for items in by_host.values():
+        walk(items, 0, "")
+    pure = {}
+    for key, name in out.items():
+        p = pure.setdefault((key[0], name), [0, 0, 0])
+        for i in range(3):
+            p[i] += counts[key][i]
+    verdicts = {}
+    for key, name in out.items():
+        n, labels, b = pure[key[0], name]
+        neutral = cfg.smoothing + cfg.unlabelled * (n - labels)
+        verdicts[key] = (name, "block" if (b + neutral / 2) / (labels + neutral) >= cfg.reject_at else "allow")
+    return verdicts
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_templates_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for host in ("a.com", "b.org", ""):
+        for _ in range(400):
+            path = ("", *(rng.choice(["en", "fr", "de", "x", "*"][: rng.randrange(2, 6)]) for _ in range(rng.randrange(4))))
+            lean = 0.95 if path[1:2] in (("en",), ("x",)) else 0.1
+            given = None if rng.random() < 0.4 else "block" if rng.random() < lean else "allow"
+            rows.append((host, path, given))
+    pages = spark.createDataFrame([(h, list(p), g) for h, p, g in rows], "host string, lexical array<string>, given string")
+    got = {(r.host, tuple(r.lexical)): (r.template, r.verdict) for r in urls.template_verdicts(pages).collect()}
+    assert got == brute_templates(rows)
+    assert {"block", "allow"} == {v for _, v in got.values()}
+
+
+def test_labels_reach_pages_without_a_rule(spark):
+    """Sections of one form share a template; most of its pages are blocked by a rule, so the others are too."""
+    rows = [(i, f"http://h.com/en/{i}") for i in range(60)] + [(100 + i, f"http://h.com/fr/{i}") for i in range(6)]
+    rows += [(200 + i, f"http://k.com/en/{i}") for i in range(3)] + [(300 + i, f"http://k.com/fr/{i}") for i in range(60)]
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(got[100 + i].rule is None and got[100 + i].verdict == "block" for i in range(6))
+    assert all(got[300 + i].verdict == "allow" for i in range(60)) and got[200].verdict == "block"
+    assert got[100].template == got[0].template == "/{en..}/*"
+
+
+def test_long_paths_and_null_hosts(spark):
+    rows = [(1, "http://h.com/" + "/".join("abcdefghijklmnop"[i % 16] for i in range(3000))), (2, None), (2, None), (3, "no scheme"), (4, "http:///x")]
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == 5 and all(r.verdict == "allow" for r in got)
+    assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
 @pytest.mark.parametrize("sections", [100, 300])
