@@ -8,6 +8,9 @@ bounded table.
 
 The vocabulary file is public and stays where it is: its path is a parameter.
 
+The files served are those with this one's kind of normalising (composed, lower
+case) and pre-tokenizer (a split by a pattern, then bytes).
+
 Defined results: null text counts as empty, with no bytes and no tokens;
 strings of special tokens inside a text count one token each, as the library
 does by default.
@@ -58,7 +61,9 @@ class Counter:
         self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
         self.vocab = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
+        # The longest of those that begin at one place.
+        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.bytes = byte_symbols()
