@@ -37,13 +37,18 @@ class QualityRules:
     boilerplate: str = (
         r"(?i)(lorem ipsum|enable javascript|javascript (is )?(disabled|required)|cookie (policy|settings)|"
         r"accept (all )?cookies|privacy policy|terms of (use|service)|all rights reserved|"
-        r"click here to|sign in to|log in to continue|subscribe to our newsletter)"
+        r"click here to|sign in to|log in to continue|subscribe to our newsletter|"
+        r"politique de confidentialit|tous droits r.serv|conditions d.utilisation|accepter les cookies|"
+        r"datenschutzerkl.rung|alle rechte vorbehalten|nutzungsbedingungen|cookies akzeptieren|"
+        r"pol.tica de privacidad|todos los derechos reservados|t.rminos de uso|aceptar cookies)"
     )
     #: One of these is in the lower-cased text wherever the pattern above fits; most texts have none.
     boilerplate_parts: tuple[str, ...] = (
         "lorem ipsum", "enable javascript", "javascript is ", "javascript disabled", "javascript required", "cookie policy",
         "cookie settings", "accept cookies", "accept all cookies", "privacy policy", "terms of use", "terms of service",
         "all rights reserved", "click here to", "sign in to", "log in to continue", "subscribe to our newsletter",
+        "politique de confidentialit", "tous droits r", "conditions d", "accepter les cookies", "datenschutzerkl", "alle rechte vorbehalten",
+        "nutzungsbedingungen", "cookies akzeptieren", "tica de privacidad", "todos los derechos reservados", "rminos de uso", "aceptar cookies",
     )
 
 
