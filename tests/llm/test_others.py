@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,29 @@ def test_mixture(spark):
     pd.testing.assert_frame_equal(got[order].sort_values(order, ignore_index=True), again[order].sort_values(order, ignore_index=True))
 
 
+def test_each_documents_share_against_brute_force(spark):
+    """Documents in the order of their keys, cut where the source's budget ends."""
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(40), rng.choice(["a", "b", "b", "c"])) for i in range(300)]
+    rows += [(None, "x y z", "a"), (None, "u v", "a"), (7, "one two", "b"), (7, "one two", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(rows_per_range=17)
+    got = sorted((r.source, -1 if r.doc_id is None else r.doc_id, r.size, r.taken) for r in mixing.mixture(docs, mix).collect())
+    keyed = docs.select("source", "doc_id", "text", mixing._key(F.col("doc_id"), F.col("text"), mix).alias("k")).collect()
+    sizes, want = {}, []
+    for r in keyed:
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
+    targets = waterfill(sizes, {"a": 3, "b": 1, "c": 2}, 1.5 * sum(sizes.values()))
+    for source, size in sizes.items():
+        whole, left = divmod(round(targets[source]), size)
+        mine = sorted((r.k, -1 if r.doc_id is None else r.doc_id, len(r.text.split())) for r in keyed if r.source == source)
+        for _, i, n in mine:
+            part = min(n, left)
+            left -= part
+            want.append((source, i, n, whole * n + part))
+    assert got == sorted(want)
+
+
 def test_mixed_documents(spark):
     docs = awkward(spark).where("text is not null")
     out = mixing.mix_documents(docs)
@@ -265,6 +289,45 @@ def test_a_rare_blocked_branch_blocks_no_other(spark, sections):
 # ---------------------------------------------------------------- toxicity
 
 
+def test_grams_and_scales_against_brute_force():
+    """Hashed n-grams are the substrings of words, and scales the shrunk log ratios of document frequencies."""
+    cfg = toxicity.Toxicity(bits=22)
+    grams, rng = toxicity.Grams(cfg), random.Random(1)
+
+    def substrings(text):
+        words = "".join(c if c.isalnum() and c < "\x80" or c == "'" or c > "\x7f" else " " for c in text.lower()).encode().split()
+        return {(b" " + w + b" ")[i : i + n] for w in words for n in cfg.grams for i in range(len(w) + 3 - n)}
+
+    def hashed(gram):
+        places = grams.places[len(gram)]
+        return int(sum(int(grams.letters[c]) * int(p) for c, p in zip(gram, places)) % 2**64 >> (64 - cfg.bits))
+
+    texts = ["", "a", "Bad Words here!", "it's ünder", "x" * 50, "some bad-words twice, bad words"]
+    texts += [" ".join("".join(rng.choices("abcd", k=rng.randrange(1, 9))) for _ in range(20)) for _ in range(40)]
+    for t in texts:
+        assert set(grams(t).tolist()) == {hashed(g) for g in substrings(t)}
+    toxic = [int("ab" in t) for t in texts]
+    model = toxicity.Classifier(texts, toxic, cfg)
+    rows = [{hashed(g) for g in substrings(t)} for t in texts]
+    n1, n0 = sum(toxic), len(toxic) - sum(toxic)
+    for g in set().union(*rows):
+        c1, c0 = (1 + sum(g in r for r, y in zip(rows, toxic) if y == k) for k in (1, 0))
+        scale = np.log((c1 / (n1 + 2)) / (c0 / (n0 + 2)))
+        assert (model.weight[g] != 0) <= (abs(scale) > cfg.errors * (1 / c0 + 1 / c1) ** 0.5)
+    z = model.intercept + sum(float(model.weight[g]) for g in rows[-1])
+    assert model.score(grams(texts[-1])) == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-5)
+
+
+def test_toxicity_awkward(spark):
+    """Repeated rows, clashing columns, very long texts, and a training sample bounded in bytes."""
+    docs = awkward(spark)
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(12)] + [(6, 0, 1)], "doc_id long, toxic int, text int")
+    small = toxicity.Toxicity(bytes_per_class=100)
+    for cfg in (toxicity.Toxicity(), small):
+        got = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs.select("doc_id", "text"), labels, cfg)).collect()
+        assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
