@@ -99,7 +99,7 @@ def test_each_documents_share_against_brute_force(spark):
         sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
     targets = waterfill(sizes, {"a": 3, "b": 1, "c": 2}, 1.5 * sum(sizes.values()))
     for source, size in sizes.items():
-        whole, left = divmod(round(targets[source]), size)
+        whole, left = divmod(int(targets[source] + 0.5), size)
         mine = sorted((r.k, -1 if r.doc_id is None else r.doc_id, len(r.text.split())) for r in keyed if r.source == source)
         for _, i, n in mine:
             part = min(n, left)
