@@ -1,4 +1,4 @@
-"""Command line: `python -m kindred.plans.cli run ...` and `... validate ...`."""
+"""Command line: `python -m kindred.plans.cli run ...`, `... validate ...` and `... aliases ...`."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from ..operators import diagnostics
 from ..operators import validate as rules
 from ..operators.model import Trees
 from ..sources import tables
@@ -65,6 +66,15 @@ def check(spark: SparkSession, args: argparse.Namespace) -> int:
     return int(bool(broken + errors))
 
 
+def aliases(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Words that stand for each other in linked names and aren't spellings of one another, as JSON lines."""
+    s1, s23 = (prepare(x) for x in tables.read_split(spark, args.data, "train"))
+    links, _ = tables.read_links(spark, f"{args.data}/train/train_ground_truth.tsv")
+    pairs = diagnostics.side_by_side(links, s1, s23, ("name_core",))
+    tables.write_json(diagnostics.token_swaps(pairs, "name_core_1", "name_core_2", args.least, unlike=0.85), args.out)
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="kindred")
     commands = top.add_subparsers(dest="command", required=True)
@@ -92,13 +102,17 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--test-dir", required=True)
     v.add_argument("--check-ids", action="store_true")
     v.add_argument("--strict", action="store_true")
+    a = commands.add_parser("aliases", help="words that stand for each other in linked names")
+    a.add_argument("--data", required=True)
+    a.add_argument("--out", required=True)
+    a.add_argument("--least", type=int, default=3)
     return top
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("kindred").getOrCreate()
-    return {"run": run, "validate": check}[args.command](spark, args)
+    return {"run": run, "validate": check, "aliases": aliases}[args.command](spark, args)
 
 
 if __name__ == "__main__":

@@ -273,6 +273,24 @@ def test_results_are_one_file_in_order(spark, tmp_path):
     assert tables.count_not_utf8(spark, f"{tmp_path}/bad.tsv") == 1
 
 
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from kindred.plans import cli
+
+    s1, s23, links = synth.generate(spark, 15)
+    for split in ("train", "test"):
+        synth.write(s1, s23, links, str(tmp_path), split)
+    tables.write_results(s1, links, links, f"{tmp_path}/out")
+    files = ["--matching", f"{tmp_path}/out/matching_results.tsv", "--candidate", f"{tmp_path}/out/candidate_pairs.tsv"]
+    assert cli.main(["validate", *files, "--test-dir", f"{tmp_path}/test", "--check-ids"]) == 0
+    assert cli.main(["validate", "--matching", f"{tmp_path}/none.tsv", "--test-dir", f"{tmp_path}/test"]) == 1
+    assert "not found" in capsys.readouterr().out
+    assert cli.main(["aliases", "--data", str(tmp_path), "--out", f"{tmp_path}/aliases", "--least", "1"]) == 0
+    rows = [json.loads(x) for f in (tmp_path / "aliases").glob("part-*") for x in f.read_text().splitlines()]
+    assert all({"token_1", "token_2", "n"} <= set(r) for r in rows)
+
+
 def test_second_kernels():
     from kindred.functions import similarity as S
 
