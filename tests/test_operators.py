@@ -244,6 +244,35 @@ def test_chain(spark, tmp_path):
     assert cfg.key("a") != LinkConfig().key("a")
 
 
+def test_folds_are_fitted_at_once(spark, monkeypatch):
+    from threading import Barrier
+
+    gate, real = Barrier(3, timeout=60), model.fit
+    monkeypatch.setattr(model, "fit", lambda *a: gate.wait() is not None and real(*a))
+    df = frame(spark, [(i % 40, i, float(i % 7), int(i % 7 > 3)) for i in range(200)], "id1 long, id2 long, a double, y int")
+    trees = model.Trees(rounds=2, depth=2, step=0.1, least_leaf=5)
+    scored, whole = model.out_of_fold_and_whole(df, ["a"], 2, trees)
+    monkeypatch.undo()
+    alone = real(df, ["a"], trees)
+    assert [r.p for r in whole.score(df).orderBy("id2").collect()] == [r.p for r in alone.score(df).orderBy("id2").collect()]
+    folded = df.withColumn("fold", F.pmod(F.xxhash64("id1"), F.lit(2)))
+    first = real(folded.where("fold = 1"), ["a"], trees).score(folded.where("fold = 0"))
+    assert scored.count() == 200 and first.join(scored.withColumnRenamed("p", "q"), "id2").where("p <> q").count() == 0
+
+
+def test_chain_blocks_the_same_records_once(spark, monkeypatch):
+    cfg = LinkConfig(folds_first=2, folds_second=2, trees=model.Trees(rounds=2, depth=2, step=0.1, least_leaf=5))
+    s1, s23, links = synth.generate(spark, 30)
+    p1, p23 = linker.prepare(s1), linker.prepare(s23)
+    calls, real = [], blocking.block
+    monkeypatch.setattr(blocking, "block", lambda *a, **k: calls.append(1) or real(*a, **k))
+    fitted, candidates, matches = linker.Linker(cfg).fit_transform(p1, p23, links)
+    assert len(calls) == 1
+    again = linker.Linker(cfg).transform(fitted, p1, p23)
+    for a, b in zip((candidates, matches), again):
+        assert sorted(a.select("id1", "id2").collect()) == sorted(b.select("id1", "id2").collect())
+
+
 def test_dense_blocking_finds_most_of_the_exact_candidates(spark):
     s1, s23, links = synth.generate(spark, 120)
     p1, p23 = linker.prepare(s1), linker.prepare(s23)
